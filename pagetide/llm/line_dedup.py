@@ -100,11 +100,8 @@ class LineRuns:
         return self._merged(self.known()) if self.known() else None
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the kept text of each row of docs (doc_id, text).
-
-    A key held by min_docs documents loses its lines everywhere but in the largest doc_id that holds it.
-    """
+def _with_places(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """docs and the places of their dropped lines, in order, as _ld_at (null: none)."""
     spark = docs.sparkSession
     staged = shared_dir(spark)
     per_doc = _hashed(docs, min_chars).withColumn("batch", F.pmod(F.hash("doc_id"), F.lit(batches)))
@@ -115,20 +112,33 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
         runs.add(lines.where(F.col("batch") == b).select("doc_id", "h1", "h2").distinct())
     hot = runs.total().where(F.col("n") >= min_docs).select("h1", "h2", "last")
     gone = lines.join(hot.hint("merge"), ["h1", "h2"]).where(F.col("doc_id") < F.col("last"))
-    places = gone.groupBy(F.col("doc_id").alias("k"), "th").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"k": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
-    return d.join(places, ["k", "th"], "left").select("doc_id", *_kept())
+    places = gone.groupBy(F.col("doc_id").alias("_ld_k"), F.col("th").alias("_ld_th")).agg(F.sort_array(F.collect_set("pos")).alias("_ld_at"))
+    d = docs.withColumns({"_ld_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_ld_th": F.xxhash64("text")})
+    return d.join(places, ["_ld_k", "_ld_th"], "left").drop("_ld_k", "_ld_th")
 
 
-def _kept() -> list[Column]:
+def _kept() -> Column:
     """Between two dropped places everything stays: slices, so that work is linear in the number of lines."""
-    lines = _lines(F.col("text"))
-    n = F.size(lines)
-    at = F.col("at")
-    edges = F.concat(F.array(F.lit(-1)), at, F.array(n))
+    lines, at = _lines(F.col("text")), F.col("_ld_at")
+    edges = F.concat(F.array(F.lit(-1)), at, F.array(F.size(lines)))
     parts = F.transform(F.sequence(F.lit(1), F.size(at) + 1), lambda i: F.slice(lines, F.element_at(edges, i) + 2, F.element_at(edges, i + 1) - F.element_at(edges, i) - 1))
-    kept = F.when(at.isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.flatten(parts), "\n"))
-    return [n.cast("long").alias("n_lines"), F.when(at.isNull(), 0).otherwise(F.size(at)).cast("long").alias("n_dropped"), kept.alias("kept")]
+    return F.when(at.isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.flatten(parts), "\n"))
+
+
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the kept text of each row of docs (doc_id, text).
+
+    A key held by min_docs documents loses its lines everywhere but in the largest doc_id that holds it.
+    """
+    d = _with_places(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs, batches, fanout)
+    n_dropped = F.when(F.col("_ld_at").isNull(), 0).otherwise(F.size("_ld_at")).cast("long")
+    return d.select("doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), _kept().alias("kept"))
+
+
+def line_deduped(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """docs with the kept text in place of text, and all other columns as they are."""
+    d = _with_places(docs, min_chars, min_docs, batches, fanout)
+    return d.withColumn("text", _kept()).select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
