@@ -34,7 +34,7 @@ from .textops import U64, hash_words, mix, padded, words
 
 ORDERS = 6
 #: Bits of the slot table of each predictor.
-SLOT_BITS = [8, 16, 20, 21, 22, 22]
+SLOT_BITS = [8, 16, 19, 20, 20, 21]
 BASES = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 SLOTS = int(BASES[-1])
 RANGES = 64
@@ -177,11 +177,11 @@ class Mixer:
 class _Learn:
     """A bucket's online pass: weights, weighted by the bits that each gate saw."""
 
-    def __init__(self, counts: np.ndarray, batch: int = 4096, rate: float = 0.05):
+    def __init__(self, counts, batch: int = 4096, rate: float = 0.05):
         self.counts, self.batch, self.rate = counts, batch, rate
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Mixer(self.counts, first_weights())
+        m = Mixer(self.counts.value, first_weights())
         grads, seen = np.full((GATES, ORDERS + 1), 1e-3), np.zeros(GATES)
         for codes, ns in _read_events(batches):
             order = np.argsort(mix(codes))
@@ -241,8 +241,8 @@ def _settle_words(label: int, got: list):
 
 
 class _Score:
-    def __init__(self, mixer: Mixer, tokens: int, distinct: int, parts: int, labels: np.ndarray):
-        self.mixer, self.tokens, self.distinct, self.parts, self.labels = mixer, tokens, distinct, parts, labels
+    def __init__(self, counts, weights: np.ndarray, tokens: int, distinct: int, parts: int, labels: np.ndarray):
+        self.counts, self.weights, self.tokens, self.distinct, self.parts, self.labels = counts, weights, tokens, distinct, parts, labels
 
     def __call__(self, c: Chunk) -> pa.RecordBatch:
         n = len(c.ids)
@@ -260,7 +260,7 @@ class _Score:
         known = np.bincount(w.row, weights=(count > 0)[w.which], minlength=n).astype(np.int64)
         code, row = events(c.raw, c.off)
         distinct, which = np.unique(code, return_inverse=True)
-        bits = -np.bincount(row, weights=self.mixer.log2(distinct)[which], minlength=n)
+        bits = -np.bincount(row, weights=Mixer(self.counts.value, self.weights).log2(distinct)[which], minlength=n)
         cols = [c.doc_ids(), pa.array(held_out(c.ids)), pa.array(tokens, pa.int64()), pa.array(known), pa.array(np.full(n, self.tokens, np.int64)), pa.array(base), pa.array(-bits * np.log10(2)), pa.array(bits / np.maximum(np.diff(c.off), 1))]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
@@ -274,16 +274,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = np.zeros((size * RANGES, 2), np.uint16)
     for r in added.toLocalIterator():
         counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["body"], np.uint16).reshape(-1, 2)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # SLOTS x 4 bytes, whatever the corpus
     total, mass = np.zeros((GATES, ORDERS + 1)), np.zeros((GATES, 1))
-    for r in seen.mapInArrow(_Learn(counts), "weights binary, seen binary").collect():
+    for r in seen.mapInArrow(_Learn(shared), "weights binary, seen binary").collect():
         total += np.frombuffer(r["weights"]).reshape(GATES, -1)
         mass += np.frombuffer(r["seen"])[:, None]
-    mixer = Mixer(counts, np.where(mass > 0, total / np.maximum(mass, 1), first_weights()))
+    weights = np.where(mass > 0, total / np.maximum(mass, 1), first_weights())
     said = written(chunks.ask(_ask_words, _settle_words))
     sums = [np.frombuffer(r["answer"], np.int64) for r in said.where("chunk = -1").select("answer").toLocalIterator()]
     tokens, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return chunks.finish(said.where("chunk >= 0"), _Score(mixer, tokens, distinct, chunks.parts, chunks.labels), schema)
+    return chunks.finish(said.where("chunk >= 0"), _Score(shared, weights, tokens, distinct, chunks.parts, chunks.labels), schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

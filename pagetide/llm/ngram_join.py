@@ -273,8 +273,12 @@ class NgramJoin:
         sets = self.chunks._with(self._listed(need)).mapInArrow(_Sets(size), "node long, n long, bitmap binary, shingles binary")
         self.sets = written(sets)
         self.links = self._verified(pairs)
+        self.roots = written(components(self.links))
         if self.big.limit(1).count():
-            self.links = self.links.unionByName(self._verified(self._left_over()))
+            more = self._verified(self._left_over())
+            self.links = self.links.unionByName(more)
+            if more.limit(1).count():
+                self.roots = components(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     @staticmethod
     def _listed(nodes: DataFrame) -> DataFrame:
@@ -291,7 +295,7 @@ class NgramJoin:
 
     def _left_over(self) -> DataFrame:
         """Within large tiles, the pairs of fitting sizes across components: members outside a key's largest component with all that are in another."""
-        comp = self.big.join(components(self.links), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        comp = self.big.join(self.roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         comp = written(comp)
         most = comp.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
         open_ = comp.join(most.select("key", "most"), "key")
@@ -301,8 +305,7 @@ class NgramJoin:
 
     def labelled(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
-        roots = components(self.links)
-        named = self.classes.join(roots, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root"))
+        named = self.classes.join(self.roots, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root"))
         least = named.groupBy("root").agg(F.min("least").alias("component_id"))
         by_set = named.join(least, "root").select("h1", "h2", "component_id")
         got = self.members.join(by_set, ["h1", "h2"], "left")
