@@ -34,12 +34,16 @@ from .textops import U64, hash_words, mix, padded, words
 
 ORDERS = 6
 #: Bits of the slot table of each predictor.
-SLOT_BITS = [8, 16, 19, 20, 20, 21]
+SLOT_BITS = [8, 16, 20, 21, 22, 22]
 BASES = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 SLOTS = int(BASES[-1])
 RANGES = 64
 GATES = ORDERS * 8
-_LOG = np.log(np.arange(1 << 16) + 0.3).astype(np.float32)
+#: A slot's count is kept as a byte, eight steps to each doubling.
+_COUNT = np.round(2.0 ** (np.arange(256) / 8) - 1, 2)
+_COUNT[:9] = 0, *[1] * 8
+_LOG = np.log(_COUNT + 0.3).astype(np.float32)
+_LESS = np.log(np.maximum(_COUNT - 1, 0) + 0.3).astype(np.float32)
 _ODD, _48 = 0x9E3779B97F4B, (1 << 48) - 1
 _INV = pow(_ODD, -1, 1 << 48)
 END_WORD = U64(0xE4D0E4D0E4D0E4D0)
@@ -141,8 +145,7 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = parts.setdefault(part, np.zeros((size, 2), np.int64))
             total.reshape(-1)[np.frombuffer(body, np.uint32, n).astype(np.int64) - 2 * size * part] += np.frombuffer(body[4 * n :], np.int64)
     for part, total in parts.items():
-        over = np.maximum(total.max(axis=1, keepdims=True), 65535) / 65535
-        small = np.where(total > 0, np.maximum(total / over, 1), 0).astype(np.uint16)
+        small = np.minimum(np.round(8 * np.log2(total + 1)), 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([small.tobytes()], pa.binary())], names=["part", "body"])
 
 
@@ -157,11 +160,12 @@ class Mixer:
         x[:, ORDERS] = 0.3
         longest = np.zeros(len(code), np.int64)
         for order in range(ORDERS):
-            n = self.counts[slots(code, order, bit)].astype(np.int64)
+            n = self.counts[slots(code, order, bit)]
             if spare:
-                n[np.arange(len(code)), on] -= n[np.arange(len(code)), on] > 0
-            x[:, order] = _LOG[n[:, 1]] - _LOG[n[:, 0]]
-            longest[n.sum(axis=1) > 1] = order
+                x[:, order] = np.where(on == 1, _LESS[n[:, 1]] - _LOG[n[:, 0]], _LOG[n[:, 1]] - _LESS[n[:, 0]])
+            else:
+                x[:, order] = _LOG[n[:, 1]] - _LOG[n[:, 0]]
+            longest[_COUNT[n[:, 0]] + _COUNT[n[:, 1]] - spare > 0.5] = order
         return x, longest * 8 + bit, on
 
     def log2(self, code: np.ndarray) -> np.ndarray:
@@ -271,10 +275,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     seen = written(chunks.ask(_ask_events, _settle_events)).select("answer")
     added = seen.mapInArrow(_to_slots, "part int, body binary").repartition(RANGES, "part").mapInArrow(_add_slots, "part int, body binary")
     size = -(-SLOTS // RANGES)
-    counts = np.zeros((size * RANGES, 2), np.uint16)
+    counts = np.zeros((size * RANGES, 2), np.uint8)
     for r in added.toLocalIterator():
-        counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["body"], np.uint16).reshape(-1, 2)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # SLOTS x 4 bytes, whatever the corpus
+        counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["body"], np.uint8).reshape(-1, 2)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # SLOTS x 2 bytes, whatever the corpus
     total, mass = np.zeros((GATES, ORDERS + 1)), np.zeros((GATES, 1))
     for r in seen.mapInArrow(_Learn(shared), "weights binary, seen binary").collect():
         total += np.frombuffer(r["weights"]).reshape(GATES, -1)
