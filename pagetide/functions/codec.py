@@ -97,6 +97,7 @@ def validate_header(h: dict) -> None:
 
 def encode_file(h: dict, pages: list[tuple[int, bytes]], post_apply: int = 0) -> bytes:
     """A whole file; pages ascend and leave the lock page out."""
+    h = dict.fromkeys(_FIELDS[1:], 0) | h
     validate_header(h)
     lock, codec, last = (1 << 30) // h["page_size"] + 1, pa.Codec("lz4"), 0
     head = encode_header(h)
