@@ -253,6 +253,43 @@ class _Exact:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+class _Across:
+    """Of each tile, the pairs of fitting sizes and bitmaps whose roots differ, one of them outside the largest component. Members of one tile follow one another."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and keys[lo] != key:
+                    yield from self.tile(held)
+                    held = []
+                key = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from self.tile(held)
+
+    def tile(self, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        node, n, root, most = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
+        bits = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(len(node), -1)
+        rest = root != most
+        for i in np.flatnonzero(rest):
+            other = (root != root[i]) & (~rest | (node > node[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * self.percent)
+            j = np.flatnonzero(other)
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            total = n[j] + n[i]
+            j = j[100 * (total - apart) >= self.percent * (total + apart)]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[j], node[i])), pa.array(np.maximum(node[j], node[i]))], names=["a", "b"])
+
+
 class NgramJoin:
     """links (a, b between class nodes), classes (h1, h2, node, least doc_id) and members of docs (doc_id, text)."""
 
@@ -298,10 +335,9 @@ class NgramJoin:
         comp = self.big.join(self.roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         comp = written(comp)
         most = comp.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-        open_ = comp.join(most.select("key", "most"), "key")
-        rest = open_.where("root <> most").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        pair = rest.join(open_, "key").where((F.col("rx") != F.col("root")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * self.percent))
-        return written(pair.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
+        open_ = comp.join(most.select("key", "most"), "key").join(self.sets.select("node", "bitmap"), "node").select("key", "node", "n", "root", "most", "bitmap")
+        tiles = open_.repartition(self.chunks.parts, "key").sortWithinPartitions("key", "node")
+        return written(tiles.mapInArrow(_Across(self.percent), "a long, b long").distinct())
 
     def labelled(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""

@@ -121,6 +121,27 @@ def test_large_group_of_near_copies(spark):
     assert got.component_id[500] == 500
 
 
+def test_large_tile_of_many_components(spark):
+    rng = np.random.default_rng(5)
+    rows, sets = [], {}
+    for i in range(110):
+        w = [f"word{k}" for k in range(100)]
+        for k in rng.integers(0, 100, int(rng.integers(1, 7))):
+            w[k] = f"new{i}_{k}" if rng.random() < 0.5 else f"alt{k}"
+        rows.append((i, " ".join(w)))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(96)}
+    least = list(range(110))
+    for _ in range(110):
+        for i in range(110):
+            for j in range(i):
+                if least[i] != least[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    low = min(least[i], least[j])
+                    least = [low if x in (least[i], least[j]) else x for x in least]
+    got = by_id(ngram_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(set(least)) > 3
+    assert got.component_id.sort_index().tolist() == least
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
