@@ -128,9 +128,11 @@ _PLAN = """, goal AS (SELECT {goal} AS t FROM manifest), ok AS (SELECT * FROM ma
 succ AS (
   SELECT cur, arg_max(min_txid, k) AS min_txid, arg_max(max_txid, k) AS max_txid, arg_max(level, k) AS level FROM (
     SELECT c.cur, f.*, f.max_txid * 1000000000 - f.min_txid * 10 + f.level AS k
-    FROM (SELECT DISTINCT max_txid AS cur FROM ok) c JOIN ok f ON f.level < 9 AND f.min_txid <= c.cur + 1 AND f.max_txid > c.cur) GROUP BY cur),
+    FROM (SELECT max_txid AS cur FROM ok UNION SELECT 0) c JOIN ok f ON f.level < 9 AND f.min_txid <= c.cur + 1 AND f.max_txid > c.cur) GROUP BY cur),
 plan AS (
-  SELECT 0 AS ord, min_txid, max_txid, level FROM (SELECT * FROM ok WHERE level = 9 ORDER BY max_txid DESC LIMIT 1)
+  SELECT 0 AS ord, min_txid, max_txid, level FROM (
+    (SELECT min_txid, max_txid, level FROM ok WHERE level = 9 ORDER BY max_txid DESC LIMIT 1)
+    UNION ALL SELECT min_txid, max_txid, level FROM succ WHERE cur = 0 AND NOT EXISTS (SELECT 1 FROM ok WHERE level = 9))
   UNION ALL SELECT ord + 1, s.min_txid, s.max_txid, s.level FROM plan p JOIN succ s ON s.cur = p.max_txid)
 SELECT ord, CAST(min_txid AS BIGINT) AS min_txid, CAST(max_txid AS BIGINT) AS max_txid, level FROM plan"""
 
