@@ -64,10 +64,9 @@ def events(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.full(len(raw) + gap * (n + 1), 0xFF, np.uint8)
     row = np.repeat(np.arange(n), size)
     s[np.arange(len(raw)) + gap * (row + 1)] = raw
-    wide = s.astype(U64)
-    code = np.zeros(len(s) - gap, U64)
-    for j in range(ORDERS):
-        code = code << U64(8) | wide[j : j + len(code)]
+    two = s[:-1].astype(np.uint16) << np.uint16(8) | s[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
+    code = four[:-2].astype(U64) << U64(16) | two[4:]
     both = np.repeat(np.arange(n), size + 1)
     at = np.arange(len(both)) + (gap - 1) * both
     return code[at], both
@@ -124,16 +123,18 @@ def _read_events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 
 
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of zeros and ones, added up in a table as large as the slots, leave it once."""
+    size = -(-SLOTS // RANGES)
+    total = np.zeros(2 * size * RANGES, np.int64)
     for code, n in _read_events(batches):
-        at, one = [], []
         for bit in range(8):
-            on = (code >> U64(7 - bit)) & U64(1)
+            on = ((code >> U64(7 - bit)) & U64(1)).astype(np.int64)
             for order in range(ORDERS):
-                at.append(slots(code, order, bit).astype(U64) << U64(1) | on)
-        slot, total = _counted(np.concatenate(at), np.tile(n, 8 * ORDERS))
-        edges = np.searchsorted(slot >> U64(1), np.arange(RANGES + 1) * -(-SLOTS // RANGES))
-        full = np.flatnonzero(np.diff(edges))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([slot[edges[i] : edges[i + 1]].astype(np.uint32).tobytes() + total[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary())], names=["part", "body"])
+                np.add.at(total, slots(code, order, bit) << 1 | on, n)
+    for part, counts in enumerate(total.reshape(RANGES, -1)):
+        at = np.flatnonzero(counts)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(at + 2 * size * part).astype(np.uint32).tobytes() + counts[at].tobytes()], pa.binary())], names=["part", "body"])
 
 
 def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +264,11 @@ class _Score:
         base = np.bincount(w.row, weights=logs[w.which], minlength=n)
         known = np.bincount(w.row, weights=(count > 0)[w.which], minlength=n).astype(np.int64)
         code, row = events(c.raw, c.off)
-        distinct, which = np.unique(code, return_inverse=True)
-        bits = -np.bincount(row, weights=Mixer(self.counts.value, self.weights).log2(distinct)[which], minlength=n)
+        key = np.sort(code << U64(16) | row.astype(U64))  # rows of a chunk fit 16 bits
+        code = key >> U64(16)
+        first = np.concatenate([[True], code[1:] != code[:-1]])
+        logs = Mixer(self.counts.value, self.weights).log2(code[first])[np.cumsum(first) - 1]
+        bits = -np.bincount((key & U64(0xFFFF)).astype(np.int64), weights=logs, minlength=n)
         cols = [c.doc_ids(), pa.array(held_out(c.ids)), pa.array(tokens, pa.int64()), pa.array(known), pa.array(np.full(n, self.tokens, np.int64)), pa.array(base), pa.array(-bits * np.log10(2)), pa.array(bits / np.maximum(np.diff(c.off), 1))]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
