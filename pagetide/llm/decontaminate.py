@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask selects WEIGHT of SPAN consecutive tokens; the rest may differ. All
+A stretch of ``min(least, item's length)`` aligned tokens of which ``percent`` agree is
+contamination. It is cut into equal parts, so many more than tokens may differ that some
+are whole wherever the others differ; a mask selects so many parts, and there is one for every choice of them, so
+that no such stretch is missed (13 tokens of which 3 differ: 10 masks of 6 tokens). All
 masked windows of all benchmark items are hashed, and so is every position of
-every document, once for each mask; equal hashes are hits. Around a hit, document and item
-are aligned on its diagonal and tokens compared: a stretch of
-``min(least, item's length)`` tokens of which ``percent`` agree is contamination.
+every document, once for each mask; equal tokens at a mask's places are a hit. Around a hit, document and item
+are aligned on its diagonal and tokens compared.
 Tokens are words with A-Z lower-cased and, at both ends, no ASCII punctuation, so that edits of case and punctuation don't hide a copy.
 
 The benchmark's hashes go to the tasks in blocks of at most BLOCK_TOKENS tokens, a stated
@@ -18,7 +20,7 @@ judged like others; other columns are kept by ``decontaminated``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import written
-from .textops import U64, grams, hash_words, mix, padded, slices, text_buffers, words
+from .textops import U64, hash_words, mix, padded, slices, text_buffers, words
 
-#: Fixed masks over 12 tokens: 1 compares the token, 0 ignores it.
-MASKS = ["110110111101", "111010110111", "101111011011"]
 SPAN, MIN_TOKENS = 12, 8
+#: A mask selects so many tokens, if the stretch is long enough.
+WEIGHT = 6
 BLOCK_TOKENS = 4_000_000
 SLICE = 4 << 20
 _FILTER_BITS = 22
@@ -57,6 +59,15 @@ def tokens(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hash_words(text, start, end), np.searchsorted(start, off)
 
 
+def masks(need: int, misses: int) -> list[str]:
+    """Masks (1 compares the token, 0 ignores it) of which at least one hits any stretch of need tokens in which at most so many differ."""
+    sizes = [(whole, need // (whole + misses)) for whole in range(1, need - misses + 1)]
+    whole, size = next((x for x in sizes if x[0] * x[1] >= WEIGHT), max(sizes, key=lambda x: x[0] * x[1]))
+    # a choice without the first part is another one, shifted
+    picks = ((0, *rest) for rest in combinations(range(1, whole + misses), whole - 1))
+    return ["".join(("1" if i in p else "0") * size for i in range(p[-1] + 1)) for p in picks]
+
+
 def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """The places at which a masked window lies within one text, and their hashes."""
     n = len(h) - len(mask) + 1
@@ -74,46 +85,55 @@ def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.n
 class Index:
     """A block of benchmark items: tokens, and the sorted hashes of their masked windows with a bit filter before them."""
 
-    def __init__(self, ids: np.ndarray, h: np.ndarray, first: np.ndarray):
-        self.ids, self.h, self.first = ids, h, first
+    def __init__(self, ids: np.ndarray, h: np.ndarray, first: np.ndarray, least: int = 13, percent: int = 75):
+        self.ids, self.h, self.first, self.least, self.percent = ids, h, first, least, percent
         self.tables = []
-        size = np.diff(first)
-        for mask in MASKS:
-            self.tables.append((mask, *self._table(*reversed(seeds(h, first, mask)))))
-        for n in range(MIN_TOKENS, SPAN):
-            short = np.flatnonzero(size == n)
+        needs = np.minimum(np.diff(first), least)
+        for need in np.unique(needs[needs >= min(SPAN, least)]).tolist():
+            of_items = np.repeat(needs == need, np.diff(first))
+            for mask in masks(need, need * (100 - percent) // 100):
+                at, key = seeds(h, first, mask)
+                self.tables.append((mask, *self._table(key[of_items[at]], at[of_items[at]])))
+        for n in range(MIN_TOKENS, min(SPAN, least)):
+            short = np.flatnonzero(np.diff(first) == n)
             if len(short):
                 at = first[:-1][short]
-                g, _ = grams(h, first, n)
-                self.tables.append((n, *self._table(g[at], at)))
+                self.tables.append(("1" * n, *self._table(self._hashes("1" * n)[at], at)))
+
+    def _hashes(self, mask: str) -> np.ndarray:
+        out = np.zeros(len(self.h), U64)
+        at, key = seeds(self.h, self.first, mask)
+        out[at] = key
+        return out
 
     @staticmethod
     def _table(key: np.ndarray, at: np.ndarray):
+        key = (key >> U64(32)).astype(np.uint32)
         order = np.argsort(key, kind="stable")
         bits = np.zeros(1 << _FILTER_BITS, bool)
-        bits[(key >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return key[order], at[order], bits
+        bits[key >> np.uint32(32 - _FILTER_BITS)] = True
+        return key[order], at[order].astype(np.int32), bits
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the documents and in the benchmark that agree in a masked window."""
-        left, right = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for mask, key, at, bits in self.tables:
-            if isinstance(mask, str):
-                place, k = seeds(h, first, mask)
-            else:
-                g, ok = grams(h, first, mask)
-                place = np.flatnonzero(ok)
-                k = g[place]
-            on = bits[(k >> U64(64 - _FILTER_BITS)).astype(np.int64)]
+            place, k = seeds(h, first, mask)
+            k = (k >> U64(32)).astype(np.uint32)
+            on = bits[k >> np.uint32(32 - _FILTER_BITS)]
             place, k = place[on], k[on]
             lo, n = np.searchsorted(key, k), np.searchsorted(key, k, side="right")
             n -= lo
-            left.append(np.repeat(place, n))
             ends = np.cumsum(n)
-            right.append(at[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - lo, n)])
+            x, y = np.repeat(place, n), at[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - lo, n)].astype(np.int64)
+            for i in (i for i, c in enumerate(mask) if c == "1"):
+                same = h[x + i] == self.h[y + i]
+                x, y = x[same], y[same]
+            left.append(x)
+            right.append(y)
         return np.concatenate(left), np.concatenate(right)
 
-    def verified(self, h: np.ndarray, first: np.ndarray, least: int, percent: int) -> dict[int, tuple[int, int]]:
+    def verified(self, h: np.ndarray, first: np.ndarray) -> dict[int, tuple[int, int]]:
         """For each contaminated row, the most agreeing tokens of a stretch and the smallest item with as many."""
         left, right = self.hits(h, first)
         doc = np.searchsorted(first, left, side="right") - 1
@@ -124,20 +144,20 @@ class Index:
         for d, i, shift in diagonals.tolist():
             lo = max(self.first[i], first[d] - shift)
             hi = min(self.first[i + 1], first[d + 1] - shift)
-            need = min(least, int(self.first[i + 1] - self.first[i]))
+            need = min(self.least, int(self.first[i + 1] - self.first[i]))
             if hi - lo < need:
                 continue
             same = np.concatenate([[0], np.cumsum(self.h[lo:hi] == h[lo + shift : hi + shift])])
             most = int((same[need:] - same[:-need]).max())
-            if most * 100 >= percent * need:
+            if most * 100 >= self.percent * need:
                 found = (-most, int(self.ids[i]))
                 best[d] = min(best.get(d, found), found)
         return {d: (-m, i) for d, (m, i) in best.items()}
 
 
 class _Scan:
-    def __init__(self, index: Index, least: int, percent: int):
-        self.index, self.least, self.percent = index, least, percent
+    def __init__(self, index: Index):
+        self.index = index
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,28 +165,28 @@ class _Scan:
             agree, item = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
             for lo, hi in slices(off, SLICE):
                 h, first = tokens(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                for d, (m, i) in self.index.verified(h, first, self.least, self.percent).items():
+                for d, (m, i) in self.index.verified(h, first).items():
                     agree[lo + d], item[lo + d] = m, i
             cols = [batch.column(0), pa.array(item >= 0), pa.array(item, pa.int64(), mask=item < 0), pa.array(agree)]
             yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=["doc_id", "contaminated", "item_id", "n_agree", *batch.schema.names[2:]])
 
 
-def index_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
+def index_blocks(benchmark: DataFrame, least: int, percent: int, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
     """The benchmark (item_id, text) in blocks of a bounded number of tokens; an item is never split."""
     ids, texts, held = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").toLocalIterator():
         n = len((row["text"] or "").split())
         if ids and held + n > block_tokens:
-            yield _index(ids, texts)
+            yield _index(ids, texts, least, percent)
             ids, texts, held = [], [], 0
         ids.append(row["item_id"])
         texts.append(row["text"] or "")
         held += n
-    yield _index(ids, texts)
+    yield _index(ids, texts, least, percent)
 
 
-def _index(ids: list[int], texts: list[str]) -> Index:
-    return Index(np.array(ids, np.int64), *tokens(*text_buffers(pa.array(texts, pa.string()))))
+def _index(ids: list[int], texts: list[str], least: int, percent: int) -> Index:
+    return Index(np.array(ids, np.int64), *tokens(*text_buffers(pa.array(texts, pa.string()))), least, percent)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_tokens: int = BLOCK_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -176,14 +196,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 13, percen
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[2:])
     head = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, contaminated boolean, item_id long, n_agree long"
     schema = head + (", " + fields if fields else "")
-    blocks = index_blocks(benchmark, block_tokens)
+    blocks = index_blocks(benchmark, least, percent, block_tokens)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        out = d.mapInArrow(_Scan(first, least, percent), schema)
+        out = d.mapInArrow(_Scan(first), schema)
     else:  # a pass for each block; rows are told apart by a number that is written down first
         d = written(d.withColumn("_row", F.monotonically_increasing_id()))
         full = head + ", " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[2:])
-        passes = [written(d.mapInArrow(_Scan(x, least, percent), full).select("_row", "contaminated", "item_id", "n_agree")) for x in chain([first, second], blocks)]
+        passes = [written(d.mapInArrow(_Scan(x), full).select("_row", "contaminated", "item_id", "n_agree")) for x in chain([first, second], blocks)]
         best = passes[0]
         for p in passes[1:]:
             best = best.unionByName(p)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -235,6 +236,22 @@ def test_lm(docs):
     assert (got.score < 0).all() and got.bits_per_byte.mean() < 4
 
 
+def test_decontamination_of_every_pattern(spark):
+    def copy(n, off):
+        return " ".join(f"new{k}" if k in off else f"item{k}" for k in range(n))
+
+    patterns = [(n, set(off)) for n in (12, 13, 15) for m in (1, 2, 3) for off in combinations(range(n), m)]
+    patterns += [(60, set(range(s, 60, p))) for p in (4, 5, 6) for s in range(p)]
+    for n in (12, 13, 15, 60):
+        bench = spark.createDataFrame([(n, copy(n, ()))], "item_id long, text string")
+        texts = [(i, "a b " + copy(n, off) + " c") for i, (size, off) in enumerate(patterns) if size == n]
+        got = contamination(spark.createDataFrame(texts, "doc_id long, text string"), bench).toPandas()
+        assert got.contaminated.all(), [patterns[i] for i in got.doc_id[~got.contaminated]]
+    bench = spark.createDataFrame([(13, copy(13, ()))], "item_id long, text string")
+    four = [(i, copy(13, off)) for i, off in enumerate(combinations(range(13), 4))]
+    assert not contamination(spark.createDataFrame(four, "doc_id long, text string"), bench).toPandas().contaminated.any()
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16))
