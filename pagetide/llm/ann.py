@@ -8,7 +8,10 @@ vector's approximate product is a sum of table entries, divided by the stored no
 The best CANDIDATES of each query and block of codes are merged, reranked by the
 exact cosine of the original vectors in double precision, and the nearest given.
 
-Codebooks are fitted on at most SAMPLE vectors, those with the smallest hashes of id; every vector is
+Equal vectors are one class, which is encoded, searched and reranked once and stands for its smallest ids, one more
+than a query asks for; of equal guesses and scores the smaller ids come first.
+
+Codebooks are fitted on at most SAMPLE classes, those with the smallest hashes of id; every class is
 encoded. Codes travel in blocks of BLOCK vectors and queries in blocks of QUERY_BLOCK,
 and each pair of blocks is one row of work: a stated query set against all rows.
 
@@ -90,8 +93,32 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return np.concatenate(out), np.concatenate(norms)
 
 
+class _Classes:
+    """Of each batch, equal vectors as one row with their smallest ids."""
+
+    def __init__(self, most: int, dim: int):
+        self.most, self.dim = most, dim
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _rows(batch.column(1), self.dim) + 0.0  # one zero
+            group = np.unique(x.view(np.dtype((np.void, 8 * self.dim))).ravel(), return_inverse=True)[1].ravel()
+            ids = batch.column(0).to_numpy()
+            order = np.lexsort((ids, group))
+            g, i = group[order], ids[order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1])])
+            order, g, i = order[new], g[new], i[new]
+            at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            size = np.diff(np.append(at, len(g)))
+            keep = np.arange(len(g)) - np.repeat(at, size) < self.most
+            ends = np.concatenate([[0], np.cumsum(np.minimum(size, self.most))])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(order[at])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(i[keep], pa.int64()))], names=["v", "ids"])
+
+
 class _Encode:
-    """Blocks of ids, codes and norms."""
+    """Blocks of classes, their smallest ids, codes and norms, in the order of these ids."""
 
     def __init__(self, books: np.ndarray, dim: int):
         self.books, self.dim = books, dim
@@ -101,8 +128,10 @@ class _Encode:
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, BLOCK)
+                part = part.take(pa.array(np.argsort(part.column(2).to_numpy(), kind="stable")))
                 codes, norms = encode(_unit(_rows(part.column(1), self.dim)), self.books)
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + seq], pa.int64()), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([norms.astype(np.float32).tobytes()], pa.binary())], names=["block", "ids", "codes", "norms"])
+                ids = [pa.array([part.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + seq], pa.int64()), *ids, pa.array([codes.tobytes()], pa.binary()), pa.array([norms.astype(np.float32).tobytes()], pa.binary())], names=["block", "classes", "ids", "codes", "norms"])
                 seq += 1
 
 
@@ -118,7 +147,7 @@ class _Queries:
 
 
 class _Search:
-    """The best candidates of a block of queries in a block of codes."""
+    """The best classes of a block of queries in a block of codes."""
 
     def __init__(self, books: np.ndarray, most: int):
         self.books, self.most = books, most
@@ -127,7 +156,8 @@ class _Search:
         stages, k, dim = self.books.shape
         for batch in batches:
             for r in batch.to_pylist():
-                ids, codes, norms = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["codes"], np.uint8).reshape(-1, stages), np.frombuffer(r["norms"], np.float32)
+                classes, ids = (np.frombuffer(r[k], np.int64) for k in ("classes", "ids"))
+                codes, norms = np.frombuffer(r["codes"], np.uint8).reshape(-1, stages), np.frombuffer(r["norms"], np.float32)
                 qid, q = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"]).reshape(-1, dim)
                 scale = 1 / np.sqrt(np.maximum(norms, 1e-12))
                 most = min(self.most, len(ids))
@@ -137,11 +167,14 @@ class _Search:
                     for j in range(stages):
                         got += np.take(table[:, j], codes[:, j], axis=1)
                     got *= scale
-                    got[qid[lo : lo + 64, None] == ids] = -np.inf
                     best = np.argpartition(-got, most - 1, axis=1)[:, :most]
                     score = np.take_along_axis(got, best, axis=1)
+                    low = score.min(axis=1, keepdims=True)
+                    for i in np.flatnonzero((got == low).sum(axis=1) > (score == low).sum(axis=1)):  # a cut through equal guesses
+                        best[i] = np.argsort(-got[i], kind="stable")[:most]
+                        score[i] = got[i, best[i]]
                     n = len(table) * most
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["group"], np.int32)), pa.array(np.repeat(qid[lo : lo + 64], most)), pa.array(ids[best].ravel()), pa.array(score.reshape(n))], names=["group", "query_id", "vec_id", "guess"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["group"], np.int32)), pa.array(np.repeat(qid[lo : lo + 64], most)), pa.array(classes[best].ravel()), pa.array(ids[best].ravel()), pa.array(score.reshape(n))], names=["group", "query_id", "class", "least", "guess"])
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +183,7 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         x, y = (_unit(_rows(batch.column(i), len(batch.column(i)[0]))) for i in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x * y).sum(axis=1))], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x * y).sum(axis=1))], names=["query_id", "ids", "score"])
 
 
 def nearest(vectors: DataFrame, is_query, n: int = 5, candidates: int = CANDIDATES) -> DataFrame:
@@ -163,22 +196,27 @@ def nearest(vectors: DataFrame, is_query, n: int = 5, candidates: int = CANDIDAT
         return spark.createDataFrame([], out)
     dim = dims["d"]
     v = written(v.where(F.size("v") == dim))
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    parts = v.select("vec_id", "v").mapInArrow(_Classes(n + 1, dim), f"v {v.schema['v'].dataType.simpleString()}, ids array<bigint>")
+    classes = parts.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, n + 1).alias("ids"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "v", "ids", F.col("ids")[0].alias("least")))
+    sample = classes.orderBy(F.xxhash64("least"), "least").limit(SAMPLE).toPandas()
     books = fit_codebooks(_unit(np.stack(sample["v"].to_numpy()).astype(float)))
-    codes = written(v.mapInArrow(_Encode(books, dim), "block long, ids binary, codes binary, norms binary"))
+    codes = written(classes.select("class", "v", "least").mapInArrow(_Encode(books, dim), "block long, classes binary, ids binary, codes binary, norms binary"))
     queries = v.where(is_query)
     asked = queries.mapInArrow(_Queries(dim), "query_ids binary, queries binary")
     groups = parts_of(spark)  # every query block meets every group of code blocks once
     left = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = codes.withColumn("group", F.pmod(F.hash("block"), F.lit(groups)))
-    pairs = left.join(right.hint("shuffle_hash"), "group").select("group", "ids", "codes", "norms", "query_ids", "queries")
-    found = pairs.mapInArrow(_Search(books, candidates), "group int, query_id long, vec_id long, guess float")
-    best = lambda: F.slice(F.sort_array(F.collect_list(F.struct("guess", "vec_id")), asc=False), 1, candidates)
-    by_group = found.groupBy("query_id", "group").agg(best().alias("c")).select("query_id", F.inline("c"))
-    top = by_group.groupBy("query_id").agg(best().alias("c"))
-    short = top.select("query_id", F.explode("c.vec_id").alias("vec_id")).distinct()
-    full = short.join(v.select("vec_id", F.col("v").alias("v")), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id")
-    exact = full.select("query_id", "vec_id", "q", "v").mapInArrow(_best, "query_id long, vec_id long, score double")
+    pairs = left.join(right.hint("shuffle_hash"), "group").select("group", "classes", "ids", "codes", "norms", "query_ids", "queries")
+    most = candidates + 1  # the query's own class may be one
+    found = pairs.mapInArrow(_Search(books, most), "group int, query_id long, class long, least long, guess float")
+    best = lambda c: F.slice(F.array_sort(c), 1, most).alias("c")
+    by_group = found.groupBy("query_id", "group").agg(best(F.collect_list(F.struct((-F.col("guess")).alias("s"), "least", "class"))))
+    top = by_group.groupBy("query_id").agg(best(F.flatten(F.collect_list("c"))))
+    short = top.select("query_id", F.explode("c.class").alias("class")).distinct()
+    full = short.join(classes.select("class", "ids", "v"), "class").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id")
+    exact = full.select("query_id", "ids", "q", "v").mapInArrow(_best, "query_id long, ids array<bigint>, score double")
+    exact = exact.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
     best = exact.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, n).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 

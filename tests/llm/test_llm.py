@@ -269,6 +269,26 @@ def test_nearest(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_nearest_in_a_large_group_of_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1800, 16))
+    x[rng.permutation(1800)[:900]] = x[0]
+    got = nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    right = total = 0
+    for q, part in got.groupby("query_id"):
+        score = u @ u[q]
+        score[(x == x[q]).all(axis=1)] = 1
+        score[(x == x[0]).all(axis=1)] = score[0]
+        score[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -score))[:5].tolist()
+        found = part.sort_values("rank").vec_id.tolist()
+        if (x[q] == x[0]).all():
+            assert found == want
+        right, total = right + len(set(found) & set(want)), total + 5
+    assert total == 36 * 5 and right > 0.9 * total
+
+
 def test_odd_rows(spark, odd):
     n = len(ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
