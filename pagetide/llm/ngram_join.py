@@ -306,7 +306,8 @@ class NgramJoin:
         found = written(self.chunks.ask(prefixes, _Tiles(percent), rare, "key long, a long, b long, n long"))
         pairs, self.big = found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("key", F.col("a").alias("node"), "n")
         pairs = written(pairs)
-        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        # members of large tiles that no leader fits are in no pair yet
+        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(self.big.select("node")).distinct()
         sets = self.chunks._with(self._listed(need)).mapInArrow(_Sets(size), "node long, n long, bitmap binary, shingles binary")
         self.sets = written(sets)
         self.links = self._verified(pairs)

@@ -122,6 +122,21 @@ def test_large_group_of_near_copies(spark):
     assert got.component_id[500] == 500
 
 
+def test_large_tile_with_a_lone_member(spark):
+    licence = " ".join(f"licence{i}" for i in range(25))
+    rows = [(9000 + i, " ".join(f"doc{i}x{k}" for k in range(300)) + " " + licence) for i in range(60)]
+    for g in range(0, 800, 100):  # groups that differ in their hashes only
+        base = " ".join(f"word{g}x{i}" for i in range(112))
+        rows += [(g + i, f"{base} new{g}x{i}") for i in range(40)]
+        rows += [(g + 40, f"{base} {licence}"), (g + 41, f"{base} " + " ".join(f"own{g}x{k}" for k in range(16)) + f" {licence}")]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    got = by_id(ngram_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    for g in range(0, 800, 100):
+        x, y = g + 41, g + 40
+        assert 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+        assert got.component_id[x] == got.component_id[y], g
+
+
 def test_large_tile_of_many_components(spark):
     rng = np.random.default_rng(5)
     rows, sets = [], {}
