@@ -284,6 +284,18 @@ def test_nearest(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_nearest_in_small_tables(spark):
+    rng = np.random.default_rng(7)
+    for size in (3, 60, 400):
+        x = rng.standard_normal((size, 8))
+        got = nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).toPandas()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for q in range(0, size, 20):
+            score = u @ u[q]
+            score[q] = -np.inf
+            assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(-score)[: min(5, size - 1)].tolist()
+
+
 def test_nearest_in_a_large_group_of_copies(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((1800, 16))
