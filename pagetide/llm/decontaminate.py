@@ -12,8 +12,9 @@ Tokens are words with A-Z lower-cased and, at both ends, no ASCII punctuation, s
 The benchmark's hashes go to the tasks in blocks of at most BLOCK_TOKENS tokens, a stated
 bound; a larger benchmark is met by one pass over the documents for each
 block, and the passes' results are joined. Within a task nothing grows but with the
-batch. Items of fewer than SPAN tokens are sought as whole runs of tokens if they have MIN_TOKENS or more, and not at all below
-that. Null and empty texts are clean. Each row gives one row; repeated rows and rows without doc_id are
+batch. Of an item shorter than MIN_TOKENS (and than ``least``) all tokens must agree, so it is contamination wherever a document holds it as a run;
+an item of one token is not sought, as its word alone is no passage.
+Items without item_id are sought too; they come after all others and are given as null. Null and empty texts are clean. Each row gives one row; repeated rows and rows without doc_id are
 judged like others; other columns are kept by ``decontaminated``.
 """
 
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import written
+from .chunks import NO_ID, written
 from .textops import U64, hash_words, mix, padded, slices, text_buffers, words
 
-SPAN, MIN_TOKENS = 12, 8
+#: Shorter items are sought as they are.
+MIN_TOKENS = 8
 #: A mask selects so many tokens, if the stretch is long enough.
 WEIGHT = 6
 BLOCK_TOKENS = 4_000_000
@@ -89,22 +91,15 @@ class Index:
         self.ids, self.h, self.first, self.least, self.percent = ids, h, first, least, percent
         self.tables = []
         needs = np.minimum(np.diff(first), least)
-        for need in np.unique(needs[needs >= min(SPAN, least)]).tolist():
-            of_items = np.repeat(needs == need, np.diff(first))
-            for mask in masks(need, need * (100 - percent) // 100):
+        for need in np.unique(needs[np.diff(first) > 1]).tolist():
+            of_items = np.repeat((needs == need) & (np.diff(first) > 1), np.diff(first))
+            for mask in masks(need, self.misses(need)):
                 at, key = seeds(h, first, mask)
                 self.tables.append((mask, *self._table(key[of_items[at]], at[of_items[at]])))
-        for n in range(MIN_TOKENS, min(SPAN, least)):
-            short = np.flatnonzero(np.diff(first) == n)
-            if len(short):
-                at = first[:-1][short]
-                self.tables.append(("1" * n, *self._table(self._hashes("1" * n)[at], at)))
-
-    def _hashes(self, mask: str) -> np.ndarray:
-        out = np.zeros(len(self.h), U64)
-        at, key = seeds(self.h, self.first, mask)
-        out[at] = key
-        return out
+
+    def misses(self, need: int) -> int:
+        """How many of so many tokens may differ."""
+        return 0 if need < min(MIN_TOKENS, self.least) else need * (100 - self.percent) // 100
 
     @staticmethod
     def _table(key: np.ndarray, at: np.ndarray):
@@ -149,7 +144,7 @@ class Index:
                 continue
             same = np.concatenate([[0], np.cumsum(self.h[lo:hi] == h[lo + shift : hi + shift])])
             most = int((same[need:] - same[:-need]).max())
-            if most * 100 >= self.percent * need:
+            if most >= need - self.misses(need):
                 found = (-most, int(self.ids[i]))
                 best[d] = min(best.get(d, found), found)
         return {d: (-m, i) for d, (m, i) in best.items()}
@@ -162,19 +157,19 @@ class _Scan:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, off = text_buffers(batch.column(1))
-            agree, item = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
+            agree, item = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, NO_ID, np.int64)
             for lo, hi in slices(off, SLICE):
                 h, first = tokens(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 for d, (m, i) in self.index.verified(h, first).items():
                     agree[lo + d], item[lo + d] = m, i
-            cols = [batch.column(0), pa.array(item >= 0), pa.array(item, pa.int64(), mask=item < 0), pa.array(agree)]
+            cols = [batch.column(0), pa.array(agree > 0), pa.array(item, pa.int64(), mask=item == NO_ID), pa.array(agree)]
             yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=["doc_id", "contaminated", "item_id", "n_agree", *batch.schema.names[2:]])
 
 
 def index_blocks(benchmark: DataFrame, least: int, percent: int, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
     """The benchmark (item_id, text) in blocks of a bounded number of tokens; an item is never split."""
     ids, texts, held = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").toLocalIterator():
+    for row in benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         n = len((row["text"] or "").split())
         if ids and held + n > block_tokens:
             yield _index(ids, texts, least, percent)
@@ -207,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 13, percen
         best = passes[0]
         for p in passes[1:]:
             best = best.unionByName(p)
-        best = best.groupBy("_row").agg(F.max("contaminated").alias("contaminated"), F.min_by("item_id", F.struct(-F.col("n_agree"), "item_id")).alias("item_id"), F.max("n_agree").alias("n_agree"))
+        best = best.groupBy("_row").agg(F.max("contaminated").alias("contaminated"), F.min_by("item_id", F.struct(-F.col("n_agree"), F.coalesce("item_id", F.lit(NO_ID)))).alias("item_id"), F.max("n_agree").alias("n_agree"))
         out = d.join(best, "_row").select("doc_id", "contaminated", "item_id", "n_agree", *names)
     return out.select("doc_id", "contaminated", "item_id", "n_agree", *(F.col(k).alias(c) for k, c in names.items()))
 

@@ -267,6 +267,22 @@ def test_decontamination_of_every_pattern(spark):
     assert not contamination(spark.createDataFrame(four, "doc_id long, text string"), bench).toPandas().contaminated.any()
 
 
+def test_decontamination_of_short_items_and_without_id(spark):
+    def copy(x, n, off=()):
+        return " ".join(f"new{k}" if k in off else f"{x}{k}" for k in range(n))
+
+    sizes = {n: n * 25 // 100 if n >= 8 else 0 for n in range(2, 12)}
+    bench = spark.createDataFrame([(n - 5, copy(f"s{n}x", n)) for n in sizes] + [(None, copy("none", 20)), (50, copy("both", 20)), (None, copy("both", 20))], "item_id long, text string")
+    texts = [("a b " + copy(f"s{n}x", n, off) + " c", m <= most, n - 5) for n, most in sizes.items() for m in range(most + 2) for off in combinations(range(n), m)]
+    texts += [(copy("none", 20, {5}), True, None), (copy("both", 20), True, 50)]
+    d = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id long, text string")
+    for size in (1000, 40):
+        got = contamination(d, bench, block_tokens=size).toPandas().sort_values("doc_id")
+        for (text, bad, item), found, i in zip(texts, got.contaminated, got.item_id, strict=True):
+            assert found == bad, text
+            assert not bad or (pd.isna(i) if item is None else i == item), text
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16))
