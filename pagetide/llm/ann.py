@@ -5,18 +5,21 @@ of each residual codebook. Encoding is a beam search: the BEAM best partial sums
 are extended by every codeword of the next book. Stored per vector: its codes and the squared norm of
 its sum. A query makes one table of products with all codewords; a
 vector's approximate product is a sum of table entries, divided by the stored norm's root for the cosine.
-The best CANDIDATES of each query and block of codes are merged, reranked by the
-exact cosine of the original vectors in double precision, and the nearest given.
+A task keeps the best CANDIDATES of each query over all codes that it meets and gives them as one row a query; these
+rows are merged, reranked by the exact cosine of the original vectors in double precision, and the nearest given.
+CANDIDATES is what recall hangs on: it should grow with the number of vectors as near as the fifth, about with the
+root of the table's size for vectors without structure.
 
 Equal vectors are one class, which is encoded, searched and reranked once and stands for its smallest ids, one more
 than a query asks for; of equal guesses and scores the smaller ids come first.
 
 Codebooks are fitted on at most SAMPLE classes, those with the smallest hashes of id; every class is
-encoded. Codes travel in blocks of BLOCK vectors and queries in blocks of QUERY_BLOCK,
-and each pair of blocks is one row of work: a stated query set against all rows.
+encoded. Codes travel in blocks of BLOCK vectors and queries in blocks of QUERY_BLOCK, a stated query set against all
+rows: codes are dealt to groups of at most about GROUP classes, queries to shares, and each pair of group and share is one task's.
 
 Vectors that are null, zero, of another dimension than most, or hold a null or non-finite component, and rows without vec_id
-take no part. Repeated ids are one another's own and never candidates of each other. Other columns are ignored.
+take no part. Rows that share an id are one another's own: the smallest of their vectors asks, none of them is found by it,
+and elsewhere such an id is given once, by its nearest vector. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from .chunks import parts_of, written
 
 STAGES, WORDS, BEAM = 16, 256, 4
-SAMPLE, BLOCK, QUERY_BLOCK, CANDIDATES = 8192, 8192, 1024, 400
+SAMPLE, BLOCK, QUERY_BLOCK, CANDIDATES = 8192, 8192, 128, 400
+#: The most classes whose codes one task holds, and the pairs of query and class worth a task of their own.
+GROUP, PAIRS = 1 << 22, 1 << 23
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
@@ -136,45 +141,78 @@ class _Encode:
 
 
 class _Queries:
+    """Blocks of queries, numbered by task and place."""
+
     def __init__(self, dim: int):
         self.dim = dim
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(lo, QUERY_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_unit(_rows(part.column(1), self.dim)).tobytes()], pa.binary())], names=["query_ids", "queries"])
+                yield pa.RecordBatch.from_arrays([pa.array([task + (seq << 32)], pa.int64()), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_unit(_rows(part.column(1), self.dim)).tobytes()], pa.binary())], names=["asked", "query_ids", "queries"])
+                seq += 1
+
+
+def _first(guess: np.ndarray, least: np.ndarray, most: int) -> np.ndarray:
+    """Of each row, the places of its most largest guesses; of equal ones the smaller ids."""
+    return np.lexsort((least, -guess), axis=1)[:, :most]
 
 
 class _Search:
-    """The best classes of a block of queries in a block of codes."""
+    """The best classes of each query in all code blocks of its group: blocks of codes that meet the same block of
+    queries come one after another, and only a running best of them is held and given."""
 
     def __init__(self, books: np.ndarray, most: int):
         self.books, self.most = books, most
 
+    def _block(self, table: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the block (of equal guesses the first) and guesses."""
+        got = np.zeros((len(table), len(codes)), np.float32)
+        for j in range(codes.shape[1]):
+            got += np.take(table[:, j], codes[:, j], axis=1)
+        got *= scale
+        most = min(self.most, len(codes))
+        best = np.argpartition(-got, most - 1, axis=1)[:, :most]
+        guess = np.take_along_axis(got, best, axis=1)
+        low = guess.min(axis=1, keepdims=True)
+        for i in np.flatnonzero((got == low).sum(axis=1) > (guess == low).sum(axis=1)):  # a cut through equal guesses
+            best[i] = np.argsort(-got[i], kind="stable")[:most]
+            guess[i] = got[i, best[i]]
+        return best, guess
+
+    def _packed(self, qid: np.ndarray, held: tuple) -> pa.RecordBatch:
+        guess, least, classes = held
+        order = _first(guess, least, self.most)
+        guess, least, classes = (np.take_along_axis(x, order, axis=1) for x in (guess, least, classes))
+        ends = pa.array(np.arange(len(qid) + 1) * guess.shape[1], pa.int32())
+        best = pa.StructArray.from_arrays([pa.array(-guess.ravel()), pa.array(least.ravel()), pa.array(classes.ravel())], names=["s", "least", "class"])
+        return pa.RecordBatch.from_arrays([pa.array(qid), pa.ListArray.from_arrays(ends, best)], names=["query_id", "c"])
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stages, k, dim = self.books.shape
+        key, qid, tables, held = None, None, None, None
         for batch in batches:
             for r in batch.to_pylist():
-                classes, ids = (np.frombuffer(r[k], np.int64) for k in ("classes", "ids"))
+                if key != (r["group"], r["asked"]):
+                    if held:
+                        yield self._packed(qid, held)
+                    key, held = (r["group"], r["asked"]), None
+                    qid, q = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"]).reshape(-1, dim)
+                    tables = (q @ self.books.reshape(-1, dim).T).astype(np.float32).reshape(-1, stages, k)
+                classes, ids = (np.frombuffer(r[c], np.int64) for c in ("classes", "ids"))
                 codes, norms = np.frombuffer(r["codes"], np.uint8).reshape(-1, stages), np.frombuffer(r["norms"], np.float32)
-                qid, q = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"]).reshape(-1, dim)
                 scale = 1 / np.sqrt(np.maximum(norms, 1e-12))
-                most = min(self.most, len(ids))
-                for lo in range(0, len(q), 64):
-                    table = (q[lo : lo + 64] @ self.books.reshape(-1, dim).T).astype(np.float32).reshape(-1, stages, k)
-                    got = np.zeros((len(table), len(ids)), np.float32)
-                    for j in range(stages):
-                        got += np.take(table[:, j], codes[:, j], axis=1)
-                    got *= scale
-                    best = np.argpartition(-got, most - 1, axis=1)[:, :most]
-                    score = np.take_along_axis(got, best, axis=1)
-                    low = score.min(axis=1, keepdims=True)
-                    for i in np.flatnonzero((got == low).sum(axis=1) > (score == low).sum(axis=1)):  # a cut through equal guesses
-                        best[i] = np.argsort(-got[i], kind="stable")[:most]
-                        score[i] = got[i, best[i]]
-                    n = len(table) * most
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["group"], np.int32)), pa.array(np.repeat(qid[lo : lo + 64], most)), pa.array(classes[best].ravel()), pa.array(ids[best].ravel()), pa.array(score.reshape(n))], names=["group", "query_id", "class", "least", "guess"])
+                found = [self._block(tables[lo : lo + 64], codes, scale) for lo in range(0, len(qid), 64)]
+                best, guess = (np.concatenate(x) for x in zip(*found, strict=True))
+                new = (guess, ids[best], classes[best])
+                held = tuple(np.concatenate(x, axis=1) for x in zip(held, new, strict=True)) if held else new
+                if held[0].shape[1] > 4 * self.most:
+                    order = _first(held[0], held[1], self.most)
+                    held = tuple(np.take_along_axis(x, order, axis=1) for x in held)
+        if held:
+            yield self._packed(qid, held)
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,22 +240,26 @@ def nearest(vectors: DataFrame, is_query, n: int = 5, candidates: int = CANDIDAT
     sample = classes.orderBy(F.xxhash64("least"), "least").limit(SAMPLE).toPandas()
     books = fit_codebooks(_unit(np.stack(sample["v"].to_numpy()).astype(float)))
     codes = written(classes.select("class", "v", "least").mapInArrow(_Encode(books, dim), "block long, classes binary, ids binary, codes binary, norms binary"))
-    queries = v.where(is_query)
-    asked = queries.mapInArrow(_Queries(dim), "query_ids binary, queries binary")
-    groups = parts_of(spark)  # every query block meets every group of code blocks once
-    left = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = codes.withColumn("group", F.pmod(F.hash("block"), F.lit(groups)))
-    pairs = left.join(right.hint("shuffle_hash"), "group").select("group", "classes", "ids", "codes", "norms", "query_ids", "queries")
+    queries = v.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    n_queries, n_classes = queries.count(), classes.count()
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    tasks = min(parts_of(spark), max(1, n_queries * n_classes // PAIRS))
+    groups = max(-(-n_classes // GROUP), round((tasks * 0.2) ** 0.5), 1)  # 0.2: a code is so much smaller than a query's candidates
+    shares = min(blocks, max(1, -(-tasks // groups)))
+    asked = queries.repartition(blocks).mapInArrow(_Queries(dim), "asked long, query_ids binary, queries binary")
+    left = asked.withColumns({"group": F.explode(F.sequence(F.lit(0), F.lit(groups - 1))), "share": F.pmod("asked", F.lit(shares)).cast("int")})
+    right = codes.withColumns({"group": F.pmod(F.hash("block"), F.lit(groups)), "share": F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))})
+    pairs = left.join(right.hint("shuffle_hash"), ["group", "share"]).select("group", "asked", "classes", "ids", "codes", "norms", "query_ids", "queries")
     most = candidates + 1  # the query's own class may be one
-    found = pairs.mapInArrow(_Search(books, most), "group int, query_id long, class long, least long, guess float")
-    best = lambda c: F.slice(F.array_sort(c), 1, most).alias("c")
-    by_group = found.groupBy("query_id", "group").agg(best(F.collect_list(F.struct((-F.col("guess")).alias("s"), "least", "class"))))
-    top = by_group.groupBy("query_id").agg(best(F.flatten(F.collect_list("c"))))
-    short = top.select("query_id", F.explode("c.class").alias("class")).distinct()
-    full = short.join(classes.select("class", "ids", "v"), "class").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id")
+    found = pairs.mapInArrow(_Search(books, most), "query_id long, c array<struct<s: float, least: long, class: long>>")
+    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, most).alias("c"))
+    short = top.select("query_id", F.explode("c.class").alias("class"))
+    full = short.join(classes.select("class", "ids", "v"), "class").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     exact = full.select("query_id", "ids", "q", "v").mapInArrow(_best, "query_id long, ids array<bigint>, score double")
     exact = exact.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
-    best = exact.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, n).alias("b"))
+    ranked = exact.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("b"))
+    more = lambda got, x: F.when((F.size(got) < n) & ~F.exists(got, lambda y: y["vec_id"] == x["vec_id"]), F.concat(got, F.array(x))).otherwise(got)
+    best = ranked.select("query_id", F.aggregate("b", F.slice("b", 1, 0), more).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
 

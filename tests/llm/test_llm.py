@@ -312,6 +312,40 @@ def test_nearest_in_small_tables(spark):
             assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(-score)[: min(5, size - 1)].tolist()
 
 
+def test_nearest_with_repeated_ids_and_ties(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((300, 8)), np.eye(8), -np.eye(8)])
+    ids = np.concatenate([np.arange(250), np.arange(50), 1000 + np.arange(16)])  # 0 to 49 twice
+    got = nearest(spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in [i for i in np.unique(ids).tolist() if i % 20 == 0]:
+        asks = min(np.flatnonzero(ids == q), key=lambda i: x[i].tolist())
+        score = {}
+        for i, s in zip(ids.tolist(), (u @ u[asks]).tolist(), strict=True):
+            if i != q:
+                score[i] = max(score.get(i, -2), round(s, 12))
+        want = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
+
+
+def test_nearest_over_many_blocks_and_tasks(spark, monkeypatch):
+    from pagetide.llm import ann
+
+    for name, value in (("BLOCK", 256), ("GROUP", 700), ("PAIRS", 1 << 14), ("QUERY_BLOCK", 32)):
+        monkeypatch.setattr(ann, name, value)
+    x = np.random.default_rng(9).standard_normal((5000, 16))
+    got = nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(7), F.col("vec_id") % 50 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 5000, 50):
+        score = u @ u[q]
+        score[q] = -np.inf
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(mine.score, score[mine.vec_id])
+        hit += len(set(mine.vec_id) & set(np.argsort(-score)[:5]))
+    assert hit >= 0.95 * 500, hit
+
+
 def test_nearest_in_a_large_group_of_copies(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((1800, 16))
