@@ -158,6 +158,35 @@ def test_large_tile_of_many_components(spark):
     assert got.component_id.sort_index().tolist() == least
 
 
+def test_line_runs_keep_each_key_once(spark):
+    from pagetide.llm.line_dedup import LineRuns
+
+    runs = LineRuns(spark, fanout=2)
+    batches = [[(1, 7), (2, 7), (2, 8)], [(3, 7), (3, 9)], [(4, 7), (4, 8)], [(9, 9), (5, 7)], [(6, 10)]]
+    for batch, new in zip(batches, [{7, 8}, {9}, set(), set(), {10}], strict=True):
+        run = runs.add(spark.createDataFrame([(d, h, h) for d, h in batch], "doc_id long, h1 long, h2 long"))
+        assert {r["h1"] for r in run.collect()} == new  # what the anti-join lets through
+        keys = [r["h1"] for r in runs.known().collect()]
+        assert len(keys) == len(set(keys))
+    assert {(r["h1"], r["n"], r["last"]) for r in runs.total().collect()} == {(7, 5, 5), (8, 2, 4), (9, 2, 9), (10, 1, 6)}
+    assert sum(map(len, runs.levels)) < len(batches)
+
+
+def test_line_dedup_of_heavy_lines_and_clashing_names(spark, monkeypatch):
+    from pagetide.llm import line_dedup as module
+
+    heavy, light = "a line that very many documents share", "a line that only three documents share"
+    rows = [(i, f"{heavy}\nthe very own line of document number {i}" + (f"\n{light}\nshort" if i % 20 == 0 else "")) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "at", "th", "h1", "last", "batch", "_ld_k", "_ld_at")})
+    for size in (10, 1000):
+        monkeypatch.setattr(module, "HEAVY", size)
+        out = line_deduped(d)
+        assert out.columns == d.columns and out.where("at = 1 and th = 1").count() == 60
+        got = {r["doc_id"]: r["text"].split("\n") for r in out.collect()}
+        assert [i for i in got if heavy in got[i]] == [59] and [i for i in got if light in got[i]] == [40]
+        assert sum("short" in x for x in got.values()) == 3 and all(len([y for y in x if y.startswith("the very")]) == 1 for x in got.values())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
