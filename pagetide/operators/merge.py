@@ -19,14 +19,15 @@ def latest_wins(versions: DataFrame, order: str | Column, *values: str, key: str
     return versions.groupBy(key).agg(best).select(key, *(F.col(f"v.{c}").alias(c) for c in values))
 
 
-def last_commit(versions: DataFrame, order: str) -> DataFrame:
-    return versions.agg(F.max_by("commit", order).alias("db_pages"))
-
-
-def compact(versions: DataFrame, order: str, *values: str) -> DataFrame:
-    """Latest wins, and pages beyond the newest input's size go."""
-    size = last_commit(versions.where("commit > 0"), order)
-    return latest_wins(versions, order, *values).join(F.broadcast(size), F.col("pgno") <= F.col("db_pages")).drop("db_pages")
+def compact(versions: DataFrame, order: str | Column, *values: str, key: str = "pgno") -> DataFrame:
+    """Latest wins, and pages beyond the newest input's size go. One aggregation finds the newest of each page and, beside
+    it, the newest size that the page's versions name; a second, over one row a page, the size itself."""
+    order = F.col(order) if isinstance(order, str) else order
+    best = F.max_by(F.struct(*values), order).alias("v")
+    sized = F.max(F.when(F.col("commit") > 0, F.struct(order.alias("o"), F.col("commit").alias("c")))).alias("s")
+    one = versions.groupBy(key).agg(best, sized)
+    size = one.agg(F.max("s").alias("s")).select(F.col("s.c").alias("db_pages"))
+    return one.join(F.broadcast(size), F.col(key) <= F.col("db_pages")).select(key, *(F.col(f"v.{c}").alias(c) for c in values))
 
 
 def committed(frames: DataFrame, order: str = "seq") -> DataFrame:

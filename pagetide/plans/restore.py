@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SNAPSHOT_LEVEL
-from ..operators.merge import latest_wins
+from ..operators.merge import compact
 
 
 class TxNotAvailable(LookupError):
@@ -51,9 +51,13 @@ def greedy(seed: tuple | None, files: list[tuple], target: int) -> list[tuple]:
 
 
 def restore_plan(manifest: DataFrame, target: int = 0) -> list[tuple]:
+    """The chain of (min, max, level). Files that end within the seed snapshot are never chosen and don't reach the driver."""
     m = manifest.where(F.col("max_txid") <= target) if target else manifest
     seed = m.where(F.col("level") == SNAPSHOT_LEVEL).agg(F.max_by(F.struct("min_txid", "max_txid", "level"), F.struct("max_txid", "min_txid")).alias("s")).first()["s"]
-    best = m.where(F.col("level") < SNAPSHOT_LEVEL).groupBy("min_txid").agg(F.max(F.struct("max_txid", "level")).alias("b")).select("min_txid", "b.max_txid", "b.level")
+    m = m.where(F.col("level") < SNAPSHOT_LEVEL)
+    if seed:
+        m = m.where(F.col("max_txid") > seed["max_txid"])
+    best = m.groupBy("min_txid").agg(F.max(F.struct("max_txid", "level")).alias("b")).select("min_txid", "b.max_txid", "b.level")
     return greedy(tuple(seed) if seed else None, [tuple(r) for r in best.toLocalIterator()], target)
 
 
@@ -62,19 +66,11 @@ def plan_frame(manifest: DataFrame, target: int = 0) -> DataFrame:
     return manifest.sparkSession.createDataFrame(rows, "ord int, min_txid long, max_txid long, level int")
 
 
-def state_at(versions: DataFrame, txid: int, order: str = "seq") -> DataFrame:
-    """The pages as of a TXID, from the raw log."""
-    from ..operators.merge import compact
-
-    return compact(versions.where(F.col("txid") <= txid), order, "data", "txid")
-
-
 def restore(manifest: DataFrame, pages: DataFrame, target: int = 0) -> DataFrame:
     """The image that a plan's files give: latest file wins, pages beyond the last commit go. pages: level, min_txid, max_txid, commit, pgno, data."""
     plan = plan_frame(manifest, target)
     p = pages.join(F.broadcast(plan), ["level", "min_txid", "max_txid"])
-    size = p.agg(F.max_by("commit", "ord").alias("db_pages"))
-    return latest_wins(p, "ord", "data").join(F.broadcast(size), F.col("pgno") <= F.col("db_pages")).drop("db_pages")
+    return compact(p, "ord", "data")
 
 
 def bridge(manifest: DataFrame, position: int) -> DataFrame:
@@ -82,3 +78,46 @@ def bridge(manifest: DataFrame, position: int) -> DataFrame:
     c = manifest.where((F.col("level").between(1, 8)) & (F.col("min_txid") <= position + 1) & (F.col("max_txid") > position))
     first = c.agg(F.min("level").alias("first"))
     return c.join(F.broadcast(first), F.lit(True)).select("level", "min_txid", "max_txid", (F.col("level") == F.col("first")).alias("chosen"))
+
+
+def sync_plan(manifest: DataFrame, position: int) -> tuple[list[tuple], str]:
+    """The files (level, min, max) that lead a replica on from its position, in order, and what became of it.
+
+    Level 0 leads; a hole in it is bridged by the lowest level that has a file across it, as far as that level reaches or
+    the hole does, again and again. Without any step the newest snapshot is taken, if it is newer. Outcomes: empty, diverged,
+    current, applied, snapshot, stuck. Only files that end beyond the position reach the driver.
+    """
+    top = manifest.agg(F.coalesce(F.max("max_txid"), F.lit(0))).first()[0]
+    if top <= position:
+        return [], "empty" if top == 0 else "diverged" if top < position else "current"
+    ahead = sorted(tuple(r) for r in manifest.where(F.col("max_txid") > position).select("level", "min_txid", "max_txid").toLocalIterator())
+    levels = [[(low, high) for lv, low, high in ahead if lv == level] for level in range(SNAPSHOT_LEVEL + 1)]
+    at, plan, cur = [0] * len(levels), [], position
+
+    def step(level: int) -> bool:
+        nonlocal cur
+        files = levels[level]
+        while at[level] < len(files) and files[at[level]][1] <= cur:
+            at[level] += 1
+        if at[level] < len(files) and files[at[level]][0] <= cur + 1:
+            plan.append((level, *files[at[level]]))
+            cur = files[at[level]][1]
+            return True
+        return False
+
+    while True:
+        if step(0):
+            continue
+        hole = levels[0][at[0]][0] if at[0] < len(levels[0]) else cur + 1
+        for level in range(1, SNAPSHOT_LEVEL):
+            before = cur
+            while step(level) and cur + 1 < hole:
+                pass
+            if cur > before:
+                break
+        else:
+            break
+    if plan:
+        return plan, "applied"
+    low, high = max(levels[SNAPSHOT_LEVEL], key=lambda f: f[1], default=(0, 0))
+    return ([(SNAPSHOT_LEVEL, low, high)], "snapshot") if high > cur else ([], "stuck")

@@ -1,69 +1,134 @@
-"""Following a log as a stream: ordered, resumable, exactly convergent.
+"""Following a log as a stream: ordered, contiguous, resumable.
 
-A micro-batch holds new versions in any order. The state is a Parquet version per batch
-with a pointer row; a batch that was applied before is skipped by its id, rows at or below the position are late and dropped, and a gap is reported, not
-applied, so that the caller can bridge it from compacted levels.
+A micro-batch holds rows (txid, pgno, data, commit, seq) of transactions in any order. The position is the end of the longest run of
+transactions without a hole; what lies beyond a hole is held back until the hole is filled by a later batch or bridged by
+compacted files, and no transaction is ever passed over. A transaction's rows come in one batch, as a log file's do; if they may
+be split, a column n_rows says how many rows it has, and it counts as there when all have come. Rows at or below the
+position are repeats and dropped.
+
+The state is a log-structured table: each batch adds one *run* (the newest version of each page that it touched, and a
+tombstone for each page that a smaller commit cut off), and `fanout` runs of a level are merged into one of the next. A batch
+costs its own size, and a page is rewritten once a level. The pointer (batch, position, size in pages, runs, held rows) is one
+small file that is replaced at once, so a batch that fails half-way leaves the old state in place and is applied again;
+what a pointer no longer names is deleted one batch later.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import latest_wins
+from ..sources.store import Store
 
+_LAST = (1 << 63) - 1
+_NOTHING = {"batch": -1, "position": 0, "commit": 0, "runs": [], "held": None, "garbage": []}
 
-class Follower:
-    """Applies batches of (txid, pgno, data, commit, seq); on_gap(position, next) is asked for versions that bridge a gap."""
 
-    def __init__(self, spark: SparkSession, root: str, on_gap: Callable[[int, int], DataFrame | None] | None = None):
-        self.spark, self.root, self.on_gap, self.events = spark, root.rstrip("/"), on_gap, []
+def contiguous_end(rows: DataFrame, position: int) -> tuple[int, int | None]:
+    """The end of the run of whole transactions that follows position, and the first transaction beyond it (None: none)."""
+    whole = rows.groupBy("txid").agg(F.count("*").alias("n"), F.max("n_rows").alias("n_rows")).where("n >= coalesce(n_rows, n)").select("txid")
+    heads = whole.join(whole.select((F.col("txid") + 1).alias("txid")), "txid", "left_anti")  # each begins a run
+    hole = heads.where(F.col("txid") > position + 1).agg(F.min("txid")).first()[0]
+    before = whole.where(F.col("txid") < hole) if hole else whole
+    end = before.agg(F.max("txid")).first()[0]
+    return max(position, end or 0), hole
+
+
+class Follower:
+    """Applies batches; on_gap(position, next transaction there is) may give rows of compacted files that lead on from position (txid: a file's last)."""
 
-    def _pointer(self) -> tuple[int, int]:
-        """The last applied batch and position, from the newest complete state."""
-        try:
-            r = self.spark.read.parquet(f"{self.root}/pointer").agg(F.max(F.struct("batch", "position")).alias("p")).first()["p"]
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return -1, 0
-        return r["batch"], r["position"]
+    def __init__(self, spark: SparkSession, root: str, on_gap: Callable[[int, int], DataFrame | None] | None = None, fanout: int = 8):
+        self.spark, self.root, self.on_gap, self.fanout, self.events = spark, root.rstrip("/"), on_gap, fanout, []
+        self.store = Store(self.root)
 
-    def state(self) -> DataFrame:
-        batch, _ = self._pointer()
-        return self.spark.read.parquet(f"{self.root}/state-{batch}")
+    def pointer(self) -> dict:
+        return json.loads(self.store.get("pointer.json")) if self.store.exists("pointer.json") else dict(_NOTHING)
 
     def position(self) -> int:
-        return self._pointer()[1]
+        return self.pointer()["position"]
+
+    def _runs(self, runs: list) -> DataFrame:
+        """The newest version of each page in these runs, tombstones too."""
+        df = self.spark.read.parquet(*(f"{self.root}/{name}" for _, name in runs))
+        best = df.groupBy("pgno").agg(F.max_by(F.struct("data", "gone"), "txid").alias("v"), F.max("txid").alias("txid"))
+        return best.select("pgno", "v.data", "txid", "v.gone")
+
+    def state(self) -> DataFrame | None:
+        """pgno, data, txid of the pages there are."""
+        runs = self.pointer()["runs"]
+        return self._runs(runs).where("not gone").select("pgno", "data", "txid") if runs else None
+
+    def _delta(self, rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+        """What rows of consecutive transactions leave of each page, after a state of so many pages; and the size after them."""
+        sizes = rows.where("commit > 0").groupBy("txid").agg(F.max_by("commit", "seq").alias("db_pages"))
+        steps = rows.select("txid").distinct().join(sizes, "txid", "left")
+        low, last = steps.agg(F.min("txid"), F.max_by("db_pages", F.when(F.col("db_pages").isNotNull(), F.col("txid")))).first()
+        before = steps.select((F.col("txid") + 1).alias("txid"), F.col("db_pages").alias("before")).unionByName(self.spark.createDataFrame([(low, size)], "txid long, before long"))
+        cut = steps.join(before, "txid").where("db_pages < before")
+        cut = cut.select(F.explode(F.sequence(F.col("db_pages") + 1, F.col("before"))).alias("pgno"), "txid")
+        data = rows.schema["data"].dataType
+        dead = cut.select("pgno", F.lit(None).cast(data).alias("data"), "txid", F.lit(True).alias("gone"), F.lit(_LAST).alias("seq"))
+        live = rows.join(sizes, "txid", "left").where("db_pages is null or pgno <= db_pages").select("pgno", "data", "txid", F.lit(False).alias("gone"), "seq")
+        best = live.unionByName(dead).groupBy("pgno").agg(F.max_by(F.struct("data", "txid", "gone"), F.struct("txid", "seq")).alias("v"))
+        return best.select("pgno", "v.data", "v.txid", "v.gone"), last or size
 
     def __call__(self, df: DataFrame, batch_id: int) -> None:
-        last, position = self._pointer()
-        if batch_id <= last:
+        p = self.pointer()
+        if batch_id <= p["batch"]:
             return
-        new = df.where(F.col("txid") > position)
-        low, high = new.agg(F.min("txid"), F.max("txid")).first()
-        if low is None:
-            self.events.append((batch_id, "idle", position))
-            return
-        if low > position + 1:
-            bridge = self.on_gap(position, low) if self.on_gap else None
-            if bridge is None:
-                self.events.append((batch_id, "gap", low))
-                raise RuntimeError(f"log gap: {low} follows {position}")
-            self.events.append((batch_id, "bridged", low))
-            new = bridge.select(*new.columns).unionByName(new)
-        order = F.struct("txid", "seq")
-        delta = latest_wins(new, order, "data", "txid")
-        commit = new.where("commit > 0").agg(F.max_by("commit", order)).first()[0]
-        if last >= 0:
-            delta = latest_wins(self.state().unionByName(delta), "txid", "data", "txid")
-        if commit:
-            delta = delta.where(F.col("pgno") <= commit)
-        delta.write.mode("overwrite").parquet(f"{self.root}/state-{batch_id}")
-        self.spark.createDataFrame([(batch_id, high)], "batch long, position long").write.mode("append").parquet(f"{self.root}/pointer")
-        self.events.append((batch_id, "applied", high))
+        if "n_rows" not in df.columns:
+            df = df.withColumn("n_rows", F.lit(None).cast("long"))
+        names = ["txid", "pgno", "data", "commit", "seq", "n_rows"]
+        rows = df.select(*names).where(F.col("txid") > p["position"])
+        if p["held"]:
+            rows = rows.unionByName(self.spark.read.parquet(f"{self.root}/{p['held']}").select(*names))
+        stage = f"stage-{batch_id}"
+        rows.distinct().write.mode("overwrite").parquet(f"{self.root}/{stage}")
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{stage}")
+        position, size, runs, garbage, step = p["position"], p["commit"], [list(r) for r in p["runs"]], [stage, *([p["held"]] if p["held"] else [])], 0
+        while True:
+            end, hole = contiguous_end(rows.where(F.col("txid") > position), position)
+            new = rows.where((F.col("txid") > position) & (F.col("txid") <= end)) if end > position else None
+            if new is None and hole:
+                new = self.on_gap(position, hole) if self.on_gap else None
+                end = (new.agg(F.max("txid")).first()[0] or 0) if new is not None else 0
+                if end <= position:
+                    self.events.append((batch_id, "gap", hole))
+                    break
+                self.events.append((batch_id, "bridged", end))
+            if new is None:
+                break
+            delta, size = self._delta(new.withColumn("seq", F.col("seq").cast("long")), size)
+            name = f"run-{batch_id}-{step}"
+            delta.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            runs.append([0, name])
+            position, step = end, step + 1
+        rest, held = rows.where(F.col("txid") > position), None
+        if rest.limit(1).count():
+            held = f"held-{batch_id}"
+            rest.write.mode("overwrite").parquet(f"{self.root}/{held}")
+        runs, old = self._compacted(runs, batch_id)
+        done = {"batch": batch_id, "position": position, "commit": size, "runs": runs, "held": held, "garbage": garbage + old}
+        self.store.put("pointer.json", json.dumps(done).encode())
+        self.store.delete(*p["garbage"])
+        self.events.append((batch_id, "applied" if position > p["position"] else "idle", position))
+
+    def _compacted(self, runs: list, batch_id: int) -> tuple[list, list]:
+        """Merges full levels; gives the runs, oldest first, and the names that they replace. Below the oldest run tombstones hide nothing and go."""
+        old: list = []
+        level = 0
+        while (full := [r for r in runs if r[0] == level]) and len(full) >= self.fanout:
+            merged, name = self._runs(full), f"run-{batch_id}-level-{level + 1}"
+            bottom = full[0] is runs[0]
+            (merged.where("not gone") if bottom else merged).write.mode("overwrite").parquet(f"{self.root}/{name}")
+            at = runs.index(full[0])
+            runs = runs[:at] + [[level + 1, name]] + runs[at + len(full) :]
+            old += [r[1] for r in full]
+            level += 1
+        return runs, old
 
 
 def follow(stream: DataFrame, follower: Follower, checkpoint: str, **trigger):

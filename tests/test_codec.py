@@ -9,7 +9,6 @@ from pagetide.functions import codec
 from pagetide.operators.fence import lease_fold
 from pagetide.plans import restore
 from pagetide.sources import log_files
-from pagetide.streaming.follow import Follower, follow
 
 
 def test_fixed_values():
@@ -103,19 +102,3 @@ def test_greedy_against_plain_search():
 def test_lease_fold():
     offers = [("a", False, 0.0, True), ("b", False, 1.0, True), ("b", True, 2.0, True), ("a", False, 3.0, True), ("a", False, 200.0, False), ("a", False, 201.0, True)]
     assert [x[0] for x in lease_fold(offers, None, None, 100.0)] == ["granted", "refused", "granted", "refused", "rejected", "granted"]
-
-
-def test_follow(spark, tmp_path):
-    schema = "txid long, pgno long, data double, commit long, seq long"
-    src = tmp_path / "in"
-    spark.createDataFrame([(1, 1, 1.0, 2, 0), (2, 2, 2.0, 2, 1)], schema).coalesce(1).write.parquet(str(src))
-    f = Follower(spark, str(tmp_path / "state"))
-    run = lambda: follow(spark.readStream.schema(schema).parquet(str(src)), f, str(tmp_path / "ck")).awaitTermination()
-    run()
-    spark.createDataFrame([(2, 2, 9.0, 2, 1), (3, 1, 3.0, 1, 2)], schema).coalesce(1).write.mode("append").parquet(str(src))
-    run()
-    assert f.position() == 3
-    assert [(r["pgno"], r["data"]) for r in f.state().collect()] == [(1, 3.0)]
-    f(spark.createDataFrame([(9, 1, 0.0, 1, 9)], schema), 1)  # applied before: skipped
-    with pytest.raises(RuntimeError):
-        f(spark.createDataFrame([(9, 1, 0.0, 1, 9)], schema), 2)
