@@ -1,6 +1,6 @@
 """Regexes to one minimal deterministic automaton over bytes.
 
-Supported: literals, escapes (\\x20, \\., \\-), classes, groups, |, ?, *, +, {m}, {m,}.
+Supported: literals, escapes (\\x20, \\., \\-), classes, groups ((...), (?:...), (?i:...)), |, ?, *, +, {m}, {m,}.
 """
 
 from __future__ import annotations
@@ -73,10 +73,15 @@ class _Parser:
         c = self.peek()
         if c == "(":
             self.take()
+            fold = self.fold
             if self.p.startswith("?:", self.i):
                 self.i += 2
+            elif self.p.startswith("?i:", self.i):
+                self.i += 3
+                self.fold = True
             inner = self.either()
             assert self.take() == ")"
+            self.fold = fold
             return inner
         if c == "[":
             self.take()
@@ -128,9 +133,12 @@ def _build(nfa: _Nfa, node, start: int) -> int:
 
 
 class Automaton:
-    """`next` (states x byte classes), `byte_class` (256), `accept` (a bit per rule that ends in the state) and `reset`: bytes that lead from every state to the start."""
+    """`next` (states x byte classes), `byte_class` (256), `accept` (a bit per rule that ends in the state) and `reset`: bytes that lead from every state to the start.
 
-    def __init__(self, rules: list[tuple[str, bool]]):
+    A match may begin at every byte, or at the first one only (anchored); `alive` is then the rules, as bits, that a state may still end in.
+    """
+
+    def __init__(self, rules: list[tuple[str, bool]], anchored: bool = False):
         nfa = _Nfa()
         root = nfa.state()
         ends: dict[int, int] = {}
@@ -152,7 +160,7 @@ class Automaton:
         for state in todo:
             row = []
             for k in range(len(sample)):
-                to = frozenset().union(first, *(step[q][k] for q in state))  # a match may begin at each byte
+                to = frozenset().union(() if anchored else first, *(step[q][k] for q in state))
                 if to not in known:
                     known[to] = len(todo)
                     todo.append(to)
@@ -191,3 +199,39 @@ class Automaton:
         self.byte_class = byte_class.astype(np.int32)
         self.reset = np.array([bool((self.next[:, k] == 0).all()) for k in byte_class])
         assert self.accept[0] == 0, "a rule matches the empty text"
+        self.alive = self.accept.astype(np.int64)
+        while ((more := self.alive | np.bitwise_or.reduce(self.alive[self.next], axis=1)) != self.alive).any():
+            self.alive = more
+
+    def run(self, state: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after ranges of bytes, side by side, a byte of each at a time, and all that they accept on the way. Sizes descend."""
+        width = self.next.shape[1]
+        flat, cls = (self.next * width).ravel().astype(np.int32), self.byte_class[b]
+        accept = np.repeat(self.accept.astype(np.int64), width)
+        state, got = (state * width).astype(np.int32), np.zeros(len(begin), np.int64)
+        alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right") if len(size) else []
+        for t in range(int(size[0]) if len(size) else 0):
+            k = int(alive[t])
+            s = flat[state[:k] + cls[begin[:k] + t]]
+            state[:k] = s
+            got[:k] |= accept[s]
+        return state // width, got
+
+    def run_long(self, b: np.ndarray, step: int = 512) -> int:
+        """All that one long text makes the automaton accept: stretches are run from every state at once, then joined, then run from the states that they begin in."""
+        n, states = len(b) // step, len(self.next)
+        flat = self.next.astype(np.int32)
+        rows = self.byte_class[b[: n * step]].reshape(n, step)
+        begins, state = np.zeros(n, np.int64), 0
+        for lo in range(0, n, 4096):  # bounded: 4096 stretches at once
+            part = rows[lo : lo + 4096]
+            ends = np.tile(np.arange(states, dtype=np.int32), (len(part), 1))
+            for t in range(step):
+                ends = flat[ends, part[:, t, None]]
+            for i in range(len(part)):
+                begins[lo + i] = state
+                state = int(ends[i, state])
+        _, got = self.run(begins, b, np.arange(n) * step, np.full(n, step))
+        rest = len(b) - n * step
+        _, last = self.run(np.array([state]), b, np.array([n * step]), np.array([rest]))
+        return int(np.bitwise_or.reduce(got) | last[0]) if n else int(last[0])

@@ -11,8 +11,9 @@ Tokens are words with A-Z lower-cased and, at both ends, no ASCII punctuation, s
 
 The benchmark's hashes go to the tasks in blocks of at most BLOCK_TOKENS tokens, a stated
 bound; a larger benchmark is met by one pass over the documents for each
-block, and the passes' results are joined. Within a task nothing grows but with the
-batch. Of an item shorter than MIN_TOKENS (and than ``least``) all tokens must agree, so it is contamination wherever a document holds it as a run;
+block, and the passes' results are joined. Hits are taken up in bounded lots, in the order of items: once a document agrees in full with
+an item, only smaller items are of interest, so neither texts of repeated words nor passages that many items share
+make pairs without end. Of an item shorter than MIN_TOKENS (and than ``least``) all tokens must agree, so it is contamination wherever a document holds it as a run;
 an item of one token is not sought, as its word alone is no passage.
 Items without item_id are sought too; they come after all others and are given as null. Null and empty texts are clean. Each row gives one row; repeated rows and rows without doc_id are
 judged like others; other columns are kept by ``decontaminated``.
@@ -38,6 +39,8 @@ WEIGHT = 6
 BLOCK_TOKENS = 4_000_000
 SLICE = 4 << 20
 _FILTER_BITS = 22
+#: Hits that are looked at together.
+MOST_PAIRS = 1 << 21
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
@@ -103,50 +106,67 @@ class Index:
 
     @staticmethod
     def _table(key: np.ndarray, at: np.ndarray):
-        key = (key >> U64(32)).astype(np.uint32)
-        order = np.argsort(key, kind="stable")
+        """The sorted keys, each with its place below it, and the filter."""
+        key = (key >> U64(32)).astype(U64)
         bits = np.zeros(1 << _FILTER_BITS, bool)
-        bits[key >> np.uint32(32 - _FILTER_BITS)] = True
-        return key[order], at[order].astype(np.int32), bits
-
-    def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the documents and in the benchmark that agree in a masked window."""
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for mask, key, at, bits in self.tables:
+        bits[key >> U64(32 - _FILTER_BITS)] = True
+        return np.sort(key << U64(32) | at.astype(U64)), bits
+
+    def hits(self, h: np.ndarray, first: np.ndarray, until: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in the documents and in the benchmark that agree in a masked window, at most about MOST_PAIRS at a time.
+        until: for each row the benchmark's place from which on nothing can better what is known of the row; it may change between two steps."""
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for mask, key, bits in self.tables:
             place, k = seeds(h, first, mask)
-            k = (k >> U64(32)).astype(np.uint32)
-            on = bits[k >> np.uint32(32 - _FILTER_BITS)]
+            k >>= U64(32)
+            on = bits[k >> U64(32 - _FILTER_BITS)]
             place, k = place[on], k[on]
-            lo, n = np.searchsorted(key, k), np.searchsorted(key, k, side="right")
-            n -= lo
-            ends = np.cumsum(n)
-            x, y = np.repeat(place, n), at[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - lo, n)].astype(np.int64)
-            for i in (i for i, c in enumerate(mask) if c == "1"):
-                same = h[x + i] == self.h[y + i]
-                x, y = x[same], y[same]
-            left.append(x)
-            right.append(y)
-        return np.concatenate(left), np.concatenate(right)
+            low = np.searchsorted(key, k << U64(32))
+            n = np.searchsorted(key, k << U64(32) | U64(0xFFFFFFFF)) - low
+            some = n > 0
+            place, k, low, n = place[some], k[some], low[some], n[some]
+            begin = 0
+            while begin < len(place):
+                end = max(begin + 1, begin + int(np.searchsorted(np.cumsum(n[begin:]), MOST_PAIRS, side="right")))
+                part = slice(begin, end)
+                size = np.searchsorted(key, k[part] << U64(32) | until[row[place[part]]].astype(U64)) - low[part]
+                ends = np.cumsum(size)
+                x = np.repeat(place[part], size)
+                y = (key[np.arange(ends[-1]) - np.repeat(ends - size - low[part], size)] & U64(0xFFFFFFFF)).astype(np.int64)
+                for i in (i for i, c in enumerate(mask) if c == "1"):
+                    same = h[x + i] == self.h[y + i]
+                    x, y = x[same], y[same]
+                if len(x):
+                    yield x, y
+                begin = end
 
     def verified(self, h: np.ndarray, first: np.ndarray) -> dict[int, tuple[int, int]]:
         """For each contaminated row, the most agreeing tokens of a stretch and the smallest item with as many."""
-        left, right = self.hits(h, first)
-        doc = np.searchsorted(first, left, side="right") - 1
-        item = np.searchsorted(self.first, right, side="right") - 1
-        # one check of each diagonal: hits on it differ in the place only
-        diagonals = np.unique(np.stack([doc, item, left - right]), axis=1).T
         best: dict[int, tuple[int, int]] = {}
-        for d, i, shift in diagonals.tolist():
-            lo = max(self.first[i], first[d] - shift)
-            hi = min(self.first[i + 1], first[d + 1] - shift)
-            need = min(self.least, int(self.first[i + 1] - self.first[i]))
-            if hi - lo < need:
-                continue
-            same = np.concatenate([[0], np.cumsum(self.h[lo:hi] == h[lo + shift : hi + shift])])
-            most = int((same[need:] - same[:-need]).max())
-            if most >= need - self.misses(need):
-                found = (-most, int(self.ids[i]))
-                best[d] = min(best.get(d, found), found)
+        until = np.full(len(first) - 1, len(self.h), np.int64)
+        done: set[tuple[int, int, int]] = set()
+        for left, right in self.hits(h, first, until):
+            doc = np.searchsorted(first, left, side="right") - 1
+            item = np.searchsorted(self.first, right, side="right") - 1
+            # one check of each diagonal: hits on it differ in the place only
+            for d, i, shift in np.unique(np.stack([doc, item, left - right]), axis=1).T.tolist():
+                if self.first[i] >= until[d] or (d, i, shift) in done:
+                    continue
+                if len(done) > MOST_PAIRS:
+                    done.clear()
+                done.add((d, i, shift))
+                lo = max(self.first[i], first[d] - shift)
+                hi = min(self.first[i + 1], first[d + 1] - shift)
+                need = min(self.least, int(self.first[i + 1] - self.first[i]))
+                if hi - lo < need:
+                    continue
+                same = np.concatenate([[0], np.cumsum(self.h[lo:hi] == h[lo + shift : hi + shift])])
+                most = int((same[need:] - same[:-need]).max())
+                if most >= need - self.misses(need):
+                    found = (-most, int(self.ids[i]))
+                    best[d] = min(best.get(d, found), found)
+                    if most == self.least:  # no item agrees more, and those from here on have larger ids
+                        until[d] = min(until[d], self.first[i])
         return {d: (-m, i) for d, (m, i) in best.items()}
 
 
@@ -181,7 +201,9 @@ def index_blocks(benchmark: DataFrame, least: int, percent: int, block_tokens: i
 
 
 def _index(ids: list[int], texts: list[str], least: int, percent: int) -> Index:
-    return Index(np.array(ids, np.int64), *tokens(*text_buffers(pa.array(texts, pa.string()))), least, percent)
+    order = np.argsort(np.array(ids, np.int64), kind="stable")  # so that the first item that agrees best is the smallest
+    texts = [texts[i] for i in order]
+    return Index(np.array(ids, np.int64)[order], *tokens(*text_buffers(pa.array(texts, pa.string()))), least, percent)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_tokens: int = BLOCK_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -302,7 +302,7 @@ class NgramJoin:
         self.classes = written(self.members.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(node).alias("node")))
         reps = self._listed(self.classes.select("node"))
         rare = written(self.chunks.ask(_Rare(size), _settle_rare, reps).unionByName(reps))
-        prefixes = _Prefixes(size, percent, self.chunks.parts, self.chunks.labels)
+        prefixes = _Prefixes(size, percent, self.chunks.buckets, self.chunks.labels)
         found = written(self.chunks.ask(prefixes, _Tiles(percent), rare, "key long, a long, b long, n long"))
         pairs, self.big = found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("key", F.col("a").alias("node"), "n")
         pairs = written(pairs)

@@ -90,6 +90,12 @@ class DoubleArray:
         self.base, self.check, self.piece = base, np.append(check, np.full(260, -1, np.int32)), piece
 
 
+#: Longer words are solved alone, WINDOW places at a time.
+LONG_WORD, WINDOW = 1024, 1 << 16
+_WIDTH = np.ones(256, np.int64)
+_WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:] = 2, 3, 4
+
+
 class Pieces:
     def __init__(self, model: str = MODEL):
         self.texts, self.scores, self.of_byte = read_model(model)
@@ -121,6 +127,60 @@ class Pieces:
 
     def solve(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best pieces of each byte range, flat, and where each range's begin. Byte pieces are listed one by one."""
+        long = end - start > LONG_WORD
+        short = np.flatnonzero(~long)
+        ids, at = self._side_by_side(b, start[short], end[short])
+        if not long.any():
+            return ids, at
+        size = np.zeros(len(start), np.int64)
+        size[short] = np.diff(at)
+        alone = {int(i): self._alone(b, int(start[i]), int(end[i])) for i in np.flatnonzero(long)}
+        for i, x in alone.items():
+            size[i] = len(x)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(begin[-1], np.int32)
+        out[np.arange(len(ids)) + np.repeat(begin[short] - at[:-1], np.diff(at))] = ids
+        for i, x in alone.items():
+            out[begin[i] : begin[i + 1]] = x
+        return out, begin
+
+    def _alone(self, b: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """The best pieces of one long range: the trie is walked from WINDOW places side by side, then the paths are relaxed in order of their places."""
+        n, trie, width = hi - lo, self.trie, _WIDTH
+        best, origin, took = [-np.inf] * (n + 1), np.zeros(n + 1, np.int64), np.full(n + 1, -2, np.int32)
+        best[0] = 0.0
+        for w in range(0, n, WINDOW):
+            live = np.arange(w, min(n, w + WINDOW))
+            node, single, found = np.zeros(len(live), np.int32), np.zeros(len(live), bool), []
+            for k in range(self.longest):
+                ok = live + k < n
+                live, node = live[ok], node[ok]
+                if not len(live):
+                    break
+                child = trie.base[node] + b[lo + live + k] + 1
+                ok = trie.check[child] == node
+                live, node = live[ok], child[ok]
+                piece = trie.piece[node]
+                ends = np.flatnonzero(piece >= 0)
+                who = live[ends]
+                single[who - w] |= width[b[lo + who]] == k + 1
+                found.append((who, who + k + 1, self.scores[piece[ends]], piece[ends]))
+            who = w + np.flatnonzero(~single)
+            found.append((who, np.minimum(who + width[b[lo + who]], n), np.full(len(who), self.unknown), np.full(len(who), -1)))
+            who, to, score, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(who, kind="stable")
+            for i, j, x, p in zip(who[order].tolist(), to[order].tolist(), score[order].tolist(), piece[order].tolist(), strict=True):
+                x += best[i]
+                if x > best[j]:
+                    best[j], origin[j], took[j] = x, i, p
+        out, at = [], n
+        while at:
+            before = int(origin[at])
+            out.append(int(took[at])) if took[at] >= 0 else out.extend(self.of_byte[b[lo + before : lo + at]][::-1].tolist())
+            at = before
+        return np.array(out[::-1], np.int32)
+
+    def _side_by_side(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = end - start
         order = np.argsort(-size, kind="stable")
         size = size[order]
@@ -131,8 +191,7 @@ class Pieces:
         origin, took = np.zeros(at[-1], np.int64), np.full(at[-1], -2, np.int32)
         text = start[order]
         trie = self.trie
-        width = np.ones(256, np.int64)
-        width[0xC0:0xE0], width[0xE0:0xF0], width[0xF0:] = 2, 3, 4
+        width = _WIDTH
         alive = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         for t in range(len(alive)):
             k = np.flatnonzero(best[flat[: alive[t]] + t] > -np.inf)

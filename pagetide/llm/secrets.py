@@ -3,8 +3,10 @@
 All rules are compiled into one minimal automaton (see automaton). Texts are cut at
 bytes that lead from every state back to the start, which no match can hold;
 the pieces then run through the transition arrays side by side, a byte of each at a
-time, so each byte is read once for all rules. A piece that reaches an accepting
-state of a rule is then searched with that rule alone for its exact spans.
+time, so each byte is read once for all rules. That pass says which rules may match in which piece. A second
+automaton, of the same rules in full and anchored, then reads the exact spans of these few pieces from its arrays: from each place where
+a rule may begin it runs to where the rule can go no further, and the last accepting place ends the match; the next is sought from there. A long piece is
+run in stretches from all states at once, and a state that a byte leads back to itself is left by one search.
 
 Spans are code points, end exclusive. Null texts are empty; every input row gives one
 row; rows without doc_id, repeated rows and other columns change nothing.
@@ -13,7 +15,6 @@ row; rows without doc_id, repeated rows and other columns change nothing.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from .automaton import Automaton
 from .textops import slices, text_buffers
 
 _KEYWORD = "(password|passwd|secret|token|api_?key)"
-#: Kind, what the automaton detects (how each match begins, as far as counting on only multiplies states), what gives the spans, the group that has a least length, that length. The first three are the base.
+#: Kind, what the first pass detects (how each match begins, as far as counting on only multiplies states), the rule in full, the group that has a least length, that length. The first three are the base.
+#: Group 0 is the whole match; group 2 ends with it and begins at the byte that first completes the rule.
 RULES = [
     ("assign", _KEYWORD + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]{3}""", rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     ("access", r"AKIA[A-Z0-9]{4}", rb"AKIA[A-Z0-9]+", 0, 18),
@@ -35,13 +37,15 @@ RULES = [
 ]
 BASE = 3
 SLICE = 4 << 20
+#: A longer piece is run in stretches.
+LONG = 8192
 _COLUMNS = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 
 class Scanner:
     def __init__(self):
         self.dfa = Automaton([(detect, kind == "assign") for kind, detect, *_ in RULES])
-        self.regexes = [re.compile(exact) for _, _, exact, _, _ in RULES]
+        self.full = Automaton([(rule.decode(), False) for _, _, rule, _, _ in RULES], anchored=True)
 
     def pieces(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and accepting rules (bits) of each piece that reaches any."""
@@ -52,37 +56,57 @@ class Scanner:
         soft = ~hard
         begin = np.flatnonzero(soft & (edge[:-1] | np.concatenate([[True], hard[:-1]])))
         if not len(begin):
-            return begin, begin, begin.astype(np.uint8)
+            return begin, begin, begin
         end = np.flatnonzero(soft & (edge[1:] | np.concatenate([hard[1:], [True]]))) + 1
-        size = end - begin
-        order = np.argsort(-size, kind="stable")
-        begin, end, size = begin[order], end[order], size[order]
-        width = self.dfa.next.shape[1]
-        flat, cls = (self.dfa.next * width).ravel().astype(np.int32), self.dfa.byte_class[b]
-        accept = np.repeat(self.dfa.accept, width)
-        state, got = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.uint8)
-        alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-        for t in range(int(size[0])):
-            k = int(alive[t])
-            s = flat[state[:k] + cls[begin[:k] + t]]
-            state[:k] = s
-            got[:k] |= accept[s]
+        order = np.argsort(begin - end, kind="stable")
+        begin, end = begin[order], end[order]
+        long = int(np.searchsorted(begin - end, -LONG))
+        _, got = self.dfa.run(np.zeros(len(begin) - long, np.int64), b, begin[long:], (end - begin)[long:])
+        got = np.concatenate([np.array([self.dfa.run_long(b[x:y]) for x, y in zip(begin[:long], end[:long], strict=True)], np.int64), got])
         hit = np.flatnonzero(got)
         hit = hit[np.argsort(begin[hit])]
         return begin[hit], end[hit], got[hit]
 
+    def matches(self, text: np.ndarray, kind: int) -> list[tuple[int, int]]:
+        """The leftmost matches of a rule in a piece, none overlapping, whose group is as long as it must be."""
+        step, accept, alive, cls = self.full.next, self.full.accept >> kind & 1, self.full.alive >> kind & 1, self.full.byte_class[text]
+        group, least = RULES[kind][3:]
+        begins = np.flatnonzero(alive[step[0, cls]])
+        loops: dict[int, np.ndarray] = {}
+        kinds, n, out, at, k = cls.tolist(), len(text), [], 0, 0
+        while (k := k + int(np.searchsorted(begins[k:], at))) < len(begins):
+            begin = i = int(begins[k])
+            state, first, last = 0, -1, -1
+            while i < n:
+                new = int(step[state, kinds[i]])
+                if not alive[new]:
+                    break
+                i += 1
+                if new == state and i < n and kinds[i] == kinds[i - 1]:  # a run of bytes that lead back here
+                    if new not in loops:
+                        loops[new] = np.flatnonzero(step[new, cls] != new)
+                    j = int(np.searchsorted(loops[new], i))
+                    i = int(loops[new][j]) if j < len(loops[new]) else n
+                state = new
+                if accept[state]:
+                    first, last = (i if first < 0 else first), i
+            if last < 0:
+                at = begin + 1
+                continue
+            if last - (first - 1 if group else begin) >= least:
+                out.append((begin, last))
+            at = last
+        return out
+
     def spans(self, b: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """For each document with any: (start, kind, end) in bytes."""
         out: dict[int, list[tuple[int, int, int]]] = {}
         begin, end, rules = self.pieces(b, off)
         doc = np.searchsorted(off, begin, side="right") - 1
         for a, e, bits, d in zip(begin.tolist(), end.tolist(), rules.tolist(), doc.tolist(), strict=True):
-            text = b[a:e].tobytes()
-            for kind, (_, _, _, group, least) in enumerate(RULES):
-                if bits >> kind & 1:
-                    found = [(a + m.start(), kind, a + m.end()) for m in self.regexes[kind].finditer(text) if m.end(group) - m.start(group) >= least]
-                    if found:
-                        out.setdefault(d, []).extend(found)
+            for kind in range(len(RULES)):
+                if bits >> kind & 1 and (found := self.matches(b[a:e], kind)):
+                    out.setdefault(d, []).extend((a + x, kind, a + y) for x, y in found)
         return out
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

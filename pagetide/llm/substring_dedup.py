@@ -174,7 +174,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False)
         raise ValueError(f"window must be at least {2 * BLOCK - 1} words")
     chunks = Chunks(docs)
     blocks = written(chunks.ask(_ask_blocks, _settle_blocks))
-    windows = _Windows(window, chunks.parts, chunks.labels)
+    windows = _Windows(window, chunks.buckets, chunks.labels)
     starts = chunks.ask(windows, _settle_windows, blocks)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     return chunks.finish(blocks.unionByName(starts), _Finish(windows, with_text), schema)

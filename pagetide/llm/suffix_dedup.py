@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import SECOND, Chunk, Chunks, answer_batch, dealt, read_answers, rows, written
+from .chunks import SECOND, Chunk, Chunks, answer_batch, by_bucket, dealt, read_answers, rows, written
 from .suffixes import permuted_lcp, suffix_array
 from .textops import U64, mix
 
@@ -177,12 +177,8 @@ class _Shards:
         self.length = length
 
     def __call__(self, batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                held.setdefault(r["bucket"], []).append((r["chunk"], np.frombuffer(r["head"], np.int64).reshape(3, -1), np.frombuffer(r["body"], np.uint8)))
-        for label, got in held.items():
-            yield from self.settle(label, got)
+        for label, parts in by_bucket(batches):
+            yield from self.settle(label, [(r["chunk"], np.frombuffer(r["head"], np.int64).reshape(3, -1), np.frombuffer(r["body"], np.uint8)) for part in parts for r in part.to_pylist()])
 
     def settle(self, label: int, got: list):
         head = np.concatenate([h for _, h, _ in got], axis=1)
@@ -277,10 +273,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, with_text: bool = False) ->
         raise ValueError(f"length must be {2 * GRAM} to {4 * GRAM - 2} bytes")
     chunks = Chunks(docs)
     answers = written(chunks.ask(_AskFragments(length), _settle_fragments))
-    sent = chunks._with(answers).mapInArrow(_Send(length, chunks.parts, chunks.labels), "bucket int, chunk long, head binary, body binary")
-    found = sent.repartition(chunks.parts, "bucket").mapInArrow(_Shards(length), "chunk long, bucket int, answer binary")
+    sent = chunks._with(answers).mapInArrow(_Send(length, chunks.buckets, chunks.labels), "bucket int, chunk long, head binary, body binary")
+    found = chunks.dealt(sent).mapInArrow(_Shards(length), "chunk long, bucket int, answer binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return chunks.finish(answers.unionByName(found), _Finish(length, chunks.parts, chunks.labels, with_text), schema)
+    return chunks.finish(answers.unionByName(found), _Finish(length, chunks.buckets, chunks.labels, with_text), schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
