@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -65,11 +66,33 @@ def divergence(bucket_max: Column, position: Column) -> Column:
     return F.when(bucket_max == 0, "empty").when(bucket_max < position, "diverged").when(bucket_max == position, "current").otherwise("behind")
 
 
+def backlog(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """The local files that the bucket lacks, and where one does not follow on from the one before it or from the bucket's end: txid, gap."""
+    end = remote.agg(F.coalesce(F.max("max_txid"), F.lit(0)).alias("r"))
+    left = local.join(F.broadcast(end), F.col("min_txid") > F.col("r"))
+    have = left.select((F.col("max_txid") + 1).alias("min_txid"), F.lit(True).alias("follows"))
+    return left.join(have, "min_txid", "left").select(F.col("min_txid").alias("txid"), (F.col("follows").isNull() & (F.col("min_txid") != F.col("r") + 1)).alias("gap"))
+
+
+#: Transactions whose polls and files meet in one task.
+_SPAN = 4096
+
+
 def feed_events(polls: DataFrame, manifest: DataFrame) -> DataFrame:
-    """For each poll (poll_n, cursor = next TXID wanted): reset, gap with the next TXID there is, file, or idle."""
-    l0 = manifest.where("level = 0")
+    """For each poll (poll_n, cursor = next TXID wanted): reset, gap with the next TXID there is, file, or idle.
+
+    The next file is the smallest min_txid of those that end at the cursor or beyond: the least of the cursor's own span of transactions,
+    by a running minimum, and of the spans after it, of which there is one row each.
+    """
+    span = lambda c: F.floor(c / _SPAN).alias("span")
+    files = manifest.where("level = 0").select(span(F.col("max_txid")), F.col("max_txid").alias("at"), "min_txid", F.lit(None).cast("long").alias("poll_n"))
+    asked = polls.select(span(F.col("cursor")), F.col("cursor").alias("at"), F.lit(None).cast("long").alias("min_txid"), F.col("poll_n").cast("long").alias("poll_n"))
+    both = files.unionByName(asked)
+    down = W.partitionBy("span").orderBy(F.desc("at"), F.col("poll_n").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    here = both.withColumn("here", F.min("min_txid").over(down)).where("poll_n is not null")
+    spans = both.groupBy("span").agg(F.min("min_txid").alias("least"))
+    later = spans.select("span", F.min("least").over(W.orderBy(F.desc("span")).rowsBetween(W.unboundedPreceding, -1)).alias("later"))
     top = manifest.agg(F.coalesce(F.max("max_txid"), F.lit(0)).alias("bucket_max"))
-    nexts = polls.join(l0.select("min_txid", "max_txid"), F.col("max_txid") >= F.col("cursor"), "left")
-    nexts = nexts.groupBy("poll_n", "cursor").agg(F.min("min_txid").alias("next_min")).join(F.broadcast(top), F.lit(True))
+    nexts = here.join(later, "span").select("poll_n", F.col("at").alias("cursor"), F.least("here", "later").alias("next_min")).join(F.broadcast(top), F.lit(True))
     event = F.when((F.col("bucket_max") > 0) & (F.col("bucket_max") < F.col("cursor") - 1), "reset").when(F.col("next_min").isNull(), "idle").when(F.col("next_min") > F.col("cursor"), "gap").otherwise("ltx")
     return nexts.select("poll_n", "cursor", event.alias("event"), F.when(event.isin("gap", "ltx"), F.col("next_min")).alias("next_min"))

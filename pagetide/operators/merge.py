@@ -65,3 +65,9 @@ def gaps(files: DataFrame, by: str = "level") -> DataFrame:
     w = W.partitionBy(by).orderBy("min_txid", "max_txid")
     f = files.withColumn("prev_max", F.lag("max_txid").over(w)).where("prev_max is not null")
     return f.where((F.col("min_txid") > F.col("prev_max") + 1) | (F.col("max_txid") <= F.col("prev_max")))
+
+
+def last_image_match(versions: DataFrame) -> DataFrame:
+    """txid, pgno, match: whether a version (txid, pgno, image) is as the one of the same page before it; a first one is not."""
+    before = F.lag("image").over(W.partitionBy("pgno").orderBy("txid"))
+    return versions.select("txid", "pgno", F.coalesce(F.col("image") == before, F.lit(False)).alias("match"))

@@ -66,6 +66,17 @@ def plan_frame(manifest: DataFrame, target: int = 0) -> DataFrame:
     return manifest.sparkSession.createDataFrame(rows, "ord int, min_txid long, max_txid long, level int")
 
 
+#: Transactions of one bucket when intervals meet transactions.
+_SPAN = 4096
+
+
+def versions_of(versions: DataFrame, plan: DataFrame) -> DataFrame:
+    """The versions whose txid lies in a file of the plan, with the file's ord, once for each such file. An equal join on buckets of transactions, whatever the plan's size."""
+    files = plan.select("ord", F.col("min_txid").alias("_lo"), F.col("max_txid").alias("_hi"), F.explode(F.expr(f"sequence(min_txid div {_SPAN}, max_txid div {_SPAN})")).alias("_span"))
+    v = versions.withColumn("_span", F.expr(f"txid div {_SPAN}"))
+    return v.join(files, "_span").where("txid between _lo and _hi").drop("_span", "_lo", "_hi")
+
+
 def restore(manifest: DataFrame, pages: DataFrame, target: int = 0) -> DataFrame:
     """The image that a plan's files give: latest file wins, pages beyond the last commit go. pages: level, min_txid, max_txid, commit, pgno, data."""
     plan = plan_frame(manifest, target)

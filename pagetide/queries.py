@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import fence, merge, retention
-from .plans import restore
+from .plans import maintain, restore
+from .sinks import log_files as sink
+from .sources import log_files
+from .sources.store import shared_folder
+from .streaming.follow import Follower
 
 NOW = "2024-01-01 02:00:00"
 START = "2024-01-01 00:00:00"
@@ -151,10 +155,7 @@ def q10_restore_plan_at_txid(spark, d):
 @query(f"WITH {FRAMES_SQL}, {MANIFEST_SQL}, g AS (SELECT max(max_txid) * 3 // 4 AS t FROM manifest) SELECT pgno, arg_max(data, seq) AS data, arg_max(txid, seq) AS txid FROM frames, g WHERE txid <= t GROUP BY pgno HAVING pgno <= {DB_PAGES}")
 def q11_state_at_txid(spark, d):
     m = manifest(spark, d)
-    plan = restore.plan_frame(m, target(m))
-    f = frames(spark, d)
-    used = f.join(F.broadcast(plan.select(F.col("min_txid").alias("lo"), F.col("max_txid").alias("hi"), "ord")), F.col("txid").between(F.col("lo"), F.col("hi")))
-    return merge.compact(used, F.struct("ord", "seq"), "data", "txid")
+    return merge.compact(restore.versions_of(frames(spark, d), restore.plan_frame(m, target(m))), F.struct("ord", "seq"), "data", "txid")
 
 
 @query(_m(", e AS (SELECT max(max_txid) AS t FROM manifest WHERE level = 2) SELECT t AS position, EXISTS (SELECT 1 FROM manifest WHERE level = 1 AND min_txid > t + 1) AS gap FROM e"))
@@ -181,22 +182,25 @@ def q14_wal_page_map(spark, d):
     return merge.page_map(_cut(spark, d)).select("pgno", C.wal_size(F.lit(4096), F.col("seq")).alias("offset"))
 
 
-@query(_f(f""", h AS (SELECT max(seq) // 2 AS h FROM frames), db AS (SELECT pgno, arg_max(data, seq) AS data FROM frames, h WHERE seq < h GROUP BY pgno),
-wal AS (SELECT pgno, arg_max(data, seq) AS data FROM frames, h WHERE seq >= h AND pgno % 3 = 0 GROUP BY pgno)
+_WAL = 60  # frames since the last checkpoint
+
+
+@query(_f(f""", h AS (SELECT max(seq) - {_WAL} AS h, max(pgno) + 5 AS pages FROM frames), db AS (SELECT pgno, arg_max(data, seq) AS data FROM frames, h WHERE seq <= h GROUP BY pgno),
+wal AS (SELECT pgno, arg_max(data, seq) AS data FROM frames, h WHERE seq > h GROUP BY pgno)
 SELECT p.pgno, coalesce(w.data, d.data) AS data, CASE WHEN w.pgno IS NOT NULL THEN 'wal' WHEN d.pgno IS NOT NULL THEN 'db' ELSE 'zero' END AS origin
-FROM (SELECT unnest(range(1, {DB_PAGES} + 1)) AS pgno) p LEFT JOIN wal w USING (pgno) LEFT JOIN db d USING (pgno)"""))
+FROM (SELECT unnest(range(1, pages + 1)) AS pgno FROM h) p LEFT JOIN wal w USING (pgno) LEFT JOIN db d USING (pgno)"""))
 def q15_snapshot_overlay(spark, d):
     f = frames(spark, d)
-    f = f.join(F.broadcast(f.agg(F.expr("max(seq) div 2").alias("h"))), F.lit(True))
-    db = merge.latest_wins(f.where("seq < h"), "seq", "data")
-    wal = merge.latest_wins(f.where("seq >= h and pgno % 3 = 0"), "seq", "data")
-    return merge.overlay(db, wal, DB_PAGES)
+    ends = f.agg((F.max("seq") - _WAL).alias("h"), (F.max("pgno") + 5).alias("pages"))
+    f = f.join(F.broadcast(ends), F.lit(True))
+    db, wal = (merge.latest_wins(f.where(c), "seq", "data") for c in ("seq <= h", "seq > h"))
+    return merge.overlay(db, wal, ends.first()["pages"])
 
 
-@query(_f(" SELECT txid, CAST(bit_xor((pgno * 1000003 + seq) * 7919 % 2147483647) AS BIGINT) AS checksum, count(*) AS pages FROM frames GROUP BY txid"))
+@query(_f(" SELECT txid, bit_xor(CAST((pgno * 1000003 + seq) * 7919 % 2147483647 AS BIGINT)) | CAST(-9223372036854775808 AS BIGINT) AS checksum, count(*) AS pages FROM frames GROUP BY txid"))
 def q16_rolling_checksum(spark, d):
     f = frames(spark, d).withColumn("ck", (F.col("pgno") * 1000003 + F.col("seq")) * 7919 % 2147483647)
-    return merge.rolling_checksum(f, F.col("ck"), "txid").withColumn("checksum", F.col("checksum").bitwiseAND(F.lit((1 << 63) - 1)))
+    return merge.rolling_checksum(f, F.col("ck"), "txid")
 
 
 @query(_f(f", h AS (SELECT max(txid) // 2 AS h FROM frames) SELECT pgno, arg_max(data, seq) AS data, arg_max(txid, seq) AS txid FROM frames GROUP BY pgno HAVING pgno <= {DB_PAGES}"))
@@ -280,20 +284,26 @@ def q26_fence_levels(spark, d):
     return fence.fenced(_offers(spark, d, (1 + F.col("id") % 9).cast("int")), manifest(spark, d)).select("offer_n", "level", "min_txid", "max_txid", "verdict")
 
 
-@query("")
+@query("""WITH RECURSIVE o AS (
+  SELECT user_id % 16 AS bucket, event_id AS offer_n, 'w' || (event_id % 3) AS writer, event_id % 17 = 0 AS takeover, CAST(event_id AS DOUBLE) AS at_s, value > 1 AS accepted,
+         row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS n FROM events),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS n, bucket, CAST(NULL AS BIGINT) AS offer_n, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS holder, CAST(NULL AS DOUBLE) AS seen FROM (SELECT DISTINCT bucket FROM o)
+  UNION ALL
+  SELECT n, bucket, offer_n, CASE WHEN no THEN 'refused' WHEN accepted THEN 'granted' ELSE 'rejected' END, CASE WHEN NOT no AND accepted THEN writer ELSE holder END, CASE WHEN NOT no AND accepted THEN at_s ELSE seen END
+  FROM (SELECT o.*, f.holder, f.seen, f.holder IS NOT NULL AND o.at_s - f.seen < 100 AND f.holder <> o.writer AND NOT o.takeover AS no FROM f JOIN o ON o.bucket = f.bucket AND o.n = f.n + 1))
+SELECT bucket, offer_n, outcome, holder FROM f WHERE n > 0""")
 def q27_lease_fold(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     offers = e.select((F.col("user_id") % 16).alias("bucket"), F.col("event_id").alias("offer_n"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("writer_id"), (F.col("event_id") % 17 == 0).alias("takeover"), F.col("event_id").cast("double").alias("at_s"), (F.col("value") > 1).alias("accepted"))
     return fence.leases(offers, 100.0)
 
 
-@query(_m(", r AS (SELECT max(max_txid) AS r FROM manifest WHERE level = 2) SELECT min_txid AS txid, min_txid <> lag(max_txid, 1, r) OVER (ORDER BY min_txid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1 AS gap FROM manifest, r WHERE level = 0 AND min_txid > r"))
+@query(_m(", r AS (SELECT max(max_txid) AS r FROM manifest WHERE level = 2), own AS (SELECT min_txid FROM manifest, r WHERE level = 0 AND min_txid > r AND min_txid % 13 <> 4) SELECT min_txid AS txid, min_txid <> lag(min_txid, 1, r) OVER (ORDER BY min_txid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1 AS gap FROM own, r"))
 def q28_upload_backlog(spark, d):
+    """The local files here are those of level 0, of which some got lost."""
     m = manifest(spark, d)
-    remote = m.where("level = 2").agg(F.max("max_txid").alias("r"))
-    left = m.where("level = 0").join(F.broadcast(remote), F.col("min_txid") > F.col("r"))
-    have = left.select((F.col("max_txid") + 1).alias("min_txid"), F.lit(True).alias("follows"))
-    return left.join(have, "min_txid", "left").select(F.col("min_txid").alias("txid"), (F.col("follows").isNull() & (F.col("min_txid") != F.col("r") + 1)).alias("gap"))
+    return fence.backlog(m.where("level = 0 and min_txid % 13 <> 4"), m.where("level = 2"))
 
 
 @query(_f(" SELECT DISTINCT txid // 97 AS salt1, txid % 5 AS salt2 FROM frames WHERE txid // 97 > 2 EXCEPT SELECT DISTINCT txid // 97, txid % 5 FROM frames WHERE txid % 5 < 2"))
@@ -330,30 +340,141 @@ def q33_status_backoff(spark, d):
     return spark.range(0, 30).select(F.col("id").alias("attempt"), C.backoff_ms(F.col("id")).alias("delay_ms"))
 
 
-@query(_m(" SELECT level, min_txid, max_txid, size FROM manifest ORDER BY level, min_txid, max_txid LIMIT 50"))
+@query(_m(" SELECT level, min_txid, max_txid, printf('%016x-%016x.ltx', min_txid, max_txid) || ' ' || CAST(size AS BIGINT) || ' ' || CAST(epoch_ms(created_at) AS BIGINT) AS line FROM manifest ORDER BY level, min_txid, max_txid"))
 def q34_listing_order(spark, d):
-    return manifest(spark, d).select("level", "min_txid", "max_txid", "size").orderBy("level", "min_txid", "max_txid").limit(50)
+    line = C.listing_line(C.file_name(F.col("min_txid"), F.col("max_txid")), F.col("size"), F.unix_millis("created_at"))
+    return manifest(spark, d).select("level", "min_txid", "max_txid", line.alias("line")).orderBy("level", "min_txid", "max_txid")
 
 
 @query("SELECT ps, ps BETWEEN 512 AND 65536 AND bit_count(ps) = 1 AS valid, CASE WHEN ps > 0 THEN 1073741824 // ps + 1 END AS lock_page FROM (SELECT unnest(range(0, 70000, 256)) AS ps)")
 def q35_page_sizes(spark, d):
     r = spark.range(0, 70000, 256).select(F.col("id").alias("ps"))
-    return r.select("ps", C.valid_page_size(F.col("ps")).alias("valid"), F.when(F.col("ps") > 0, F.expr("1073741824 div nullif(ps, 0) + 1")).alias("lock_page"))
+    return r.select("ps", C.valid_page_size(F.col("ps")).alias("valid"), F.when(F.col("ps") > 0, C.lock_page(F.col("ps"))).alias("lock_page"))
 
 
-@query(_f(f" SELECT txid, count(DISTINCT pgno) AS pages, count(DISTINCT pgno) >= {DB_PAGES} - 1 AS full_image FROM frames GROUP BY txid"))
+@query(_f(f" SELECT (txid - 1) // 64 AS grp, count(DISTINCT pgno) AS pages, count(DISTINCT pgno) >= {DB_PAGES} - 1 AS full_image FROM frames WHERE pgno <= {DB_PAGES} GROUP BY 1"))
 def q36_full_image_test(spark, d):
-    return frames(spark, d).groupBy("txid").agg(F.countDistinct("pgno").alias("pages")).withColumn("full_image", F.col("pages") >= DB_PAGES - 1)
+    f = frames(spark, d).where(F.col("pgno") <= DB_PAGES).groupBy(F.expr("(txid - 1) div 64").alias("grp"))
+    return f.agg(F.countDistinct("pgno").alias("pages")).withColumn("full_image", F.col("pages") >= DB_PAGES - 1)
 
 
-@query(_f(", b AS (SELECT txid, pgno, arg_max(data, seq) AS data FROM frames GROUP BY ALL) SELECT a.txid, EXISTS (SELECT 1 FROM b WHERE b.txid = a.txid + 1 AND b.pgno = a.pgno AND b.data = a.data) AS match FROM b a WHERE a.pgno = 7"))
+@query(_f(", b AS (SELECT txid, pgno, arg_max(CAST(floor(data / 40) AS BIGINT), seq) AS image FROM frames GROUP BY ALL) SELECT a.txid, a.pgno, EXISTS (SELECT 1 FROM b WHERE b.pgno = a.pgno AND b.image = a.image AND b.txid = (SELECT max(c.txid) FROM b c WHERE c.pgno = a.pgno AND c.txid < a.txid)) AS match FROM b a"))
 def q37_last_page_match(spark, d):
-    b = merge.latest_wins(frames(spark, d).withColumn("key", F.struct("txid", "pgno")), "seq", "data", key="key").select("key.txid", "key.pgno", "data")
-    nxt = b.select((F.col("txid") - 1).alias("txid"), "pgno", "data", F.lit(True).alias("same"))
-    return b.where("pgno = 7").join(nxt, ["txid", "pgno", "data"], "left").select("txid", F.coalesce("same", F.lit(False)).alias("match"))
+    """Whether each page of a transaction is as the transaction before it that holds the page left it."""
+    f = frames(spark, d).withColumns({"key": F.struct("txid", "pgno"), "image": F.floor(F.col("data") / 40).cast("long")})
+    b = merge.latest_wins(f, "seq", "image", key="key").select("key.txid", "key.pgno", "image")
+    return merge.last_image_match(b)
+
 
+_KINDS = ["unavailable", "io", "not_found", "conflict", "cancelled", "format"]
 
-@query("SELECT event_type, count(*) AS n, sum(CASE WHEN event_type IN ('unavailable', 'io') THEN 1 ELSE 0 END) AS transient FROM events GROUP BY event_type")
+
+@query(f"SELECT kind, count(*) AS n, sum(CASE WHEN kind IN ('unavailable', 'io') THEN 1 ELSE 0 END) AS transient FROM (SELECT {_KINDS}[event_id % 6 + 1] AS kind FROM events) GROUP BY kind")
 def q38_transient_errors(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(C.is_transient(F.col("event_type")).cast("int")).alias("transient"))
+    e = events(spark, d).select(F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 6 + 1).cast("int")).alias("kind"))
+    return e.groupBy("kind").agg(F.count("*").alias("n"), F.sum(C.is_transient(F.col("kind")).cast("int")).alias("transient"))
+
+
+def _image(seq):
+    """A page of 512 bytes for each frame."""
+    return F.repeat(F.md5(seq.cast("string").cast("binary")), 16).cast("binary")
+
+
+def _bucket(spark, d, *levels: tuple[int, int]) -> str:
+    """A bucket written from the log in the shared folder: for each (level, transactions a file) the newest version of each page of each file."""
+    root = shared_folder(spark)
+    for level, size in levels:
+        f = frames(spark, d).where(F.col("pgno") <= DB_PAGES).withColumn("k", F.expr(f"(txid - 1) div {size}"))
+        ends = f.groupBy("k").agg(F.min("txid").alias("min_txid"), F.max("txid").alias("max_txid"))
+        one = f.groupBy("k", "pgno").agg(F.max("seq").alias("seq")).join(ends, "k")
+        sink.write_files(one.select(F.lit(level).alias("level"), "min_txid", "max_txid", F.lit(DB_PAGES).alias("commit"), (F.col("max_txid") * 1000).alias("ts_ms"), "pgno", _image(F.col("seq")).alias("data")), root)
+    return root
+
+
+def _text(data):
+    return F.substring(data.cast("string"), 1, 32)
+
+
+_FILES = f", f AS (SELECT *, (txid - 1) // 64 AS k FROM frames WHERE pgno <= {DB_PAGES}), e AS (SELECT k, min(txid) AS min_txid, max(txid) AS max_txid FROM f GROUP BY k), w AS (SELECT k, pgno, max(seq) AS seq FROM f GROUP BY ALL)"
+
+
+@query(_f(_FILES + " SELECT 2 AS level, min_txid, max_txid, pgno, md5(CAST(seq AS VARCHAR)) AS image FROM w JOIN e USING (k)"))
+def q39_files_round_trip(spark, d):
+    """Log files are written and read back: manifest, then the pages of each."""
+    root = _bucket(spark, d, (2, 64))
+    return log_files.pages(spark, root).select("level", "min_txid", "max_txid", F.col("pgno").cast("long"), _text(F.col("data")).alias("image"))
+
+
+@query(_f(_FILES + f" SELECT min_txid, max_txid, {DB_PAGES} AS commit, 512 AS page_size, max_txid * 1000 AS ts_ms, (SELECT count(*) FROM w WHERE w.k = e.k) AS pages, true AS ok FROM e"))
+def q40_headers_and_verification(spark, d):
+    root = _bucket(spark, d, (2, 64))
+    m = log_files.manifest(spark, root)
+    ok = log_files.verify(m).select("path", "ok", "pages")
+    return log_files.headers(spark, root).join(ok, "path").select("min_txid", "max_txid", F.col("commit").cast("int"), F.col("page_size").cast("int"), "ts_ms", "pages", "ok")
+
+
+@query(_f(_FILES + " SELECT min_txid, max_txid, pgno, md5(CAST(seq AS VARCHAR)) AS image FROM w JOIN e USING (k)"))
+def q41_pages_by_index(spark, d):
+    """Each page read alone, from the place that its file's index names."""
+    root = _bucket(spark, d, (2, 64))
+    m = log_files.manifest(spark, root)
+    places = log_files.page_index(m).where("error is null")
+    got = log_files.page_at(places, 512)
+    return got.join(m.select("path", "min_txid", "max_txid"), "path").select("min_txid", "max_txid", "pgno", _text(F.col("data")).alias("image"))
+
+
+@query(_f(_FILES.replace("// 64", "// 1000000000") + " SELECT 1 AS level, min_txid, max_txid, pgno, md5(CAST(seq AS VARCHAR)) AS image FROM w JOIN e USING (k)"))
+def q42_compact_level(spark, d):
+    """Files of level 0 compacted into one of level 1, which is read back."""
+    root = _bucket(spark, d, (0, 16))
+    maintain.compact_level(spark, root, 1)
+    plan = log_files.manifest(spark, root).where("level = 1")
+    return log_files.pages(spark, root, plan).select("level", "min_txid", "max_txid", "pgno", _text(F.col("data")).alias("image"))
+
+
+@query(_f(f""", w AS (SELECT pgno, max(seq) AS seq FROM frames WHERE pgno <= {DB_PAGES} GROUP BY pgno)
+SELECT pgno, md5(CAST(seq AS VARCHAR)) AS image, (SELECT max(txid) FROM frames) AS txid FROM w WHERE (SELECT count(*) FROM w) = {DB_PAGES}"""))
+def q43_restore_image(spark, d):
+    """A snapshot and what followed restored to an image of pages 1 to commit, read back by page; no rows while the log lacks a page."""
+    out = "pgno long, image string, txid long"
+    if frames(spark, d).where(F.col("pgno") <= DB_PAGES).agg(F.countDistinct("pgno")).first()[0] < DB_PAGES:
+        return spark.createDataFrame([], out)
+    root = _bucket(spark, d, (0, 256))
+    end = maintain.snapshot(spark, root)
+    plan = log_files.manifest(spark, root).where("level = 9")
+    sink.write_image(log_files.pages(spark, root, plan), f"{root}/image", DB_PAGES, 512)
+    files = spark.read.format("binaryFile").load(f"{root}/image")
+    return log_files.database_pages(files, 512).select("pgno", _text(F.col("data")).alias("image"), F.lit(end).alias("txid"))
+
+
+@query(_f(f" SELECT pgno, arg_max(data, seq) AS data, arg_max(txid, seq) AS txid FROM frames GROUP BY pgno HAVING pgno <= {DB_PAGES}"))
+def q44_follow(spark, d):
+    """The whole log followed in batches whose transactions are out of order, so that most batches leave holes."""
+    f = frames(spark, d)
+    f = f.withColumn("n_rows", F.lit(None).cast("long"))
+    follower = Follower(spark, shared_folder(spark), fanout=3)
+    for batch in range(5):
+        follower(f.where(F.pmod(F.xxhash64("txid"), F.lit(5)) == batch), batch)
+    return follower.state()
+
+
+@query(_m(f""", p AS (SELECT CAST(max(max_txid) // 4 AS BIGINT) AS pos FROM manifest), ks2 AS (SELECT DISTINCT max_txid AS cur FROM manifest UNION SELECT pos FROM p),
+l0 AS (SELECT c.cur, min(f.min_txid) AS lead FROM ks2 c LEFT JOIN manifest f ON f.level = 0 AND f.max_txid > c.cur GROUP BY c.cur),
+ahead AS (
+  SELECT c.cur, f.level, f.min_txid, f.max_txid, row_number() OVER (PARTITION BY c.cur, f.level ORDER BY f.min_txid, f.max_txid) AS n
+  FROM ks2 c JOIN manifest f ON f.level < 9 AND f.max_txid > c.cur),
+near AS (SELECT * FROM ahead WHERE n = 1 AND min_txid <= cur + 1),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS ord, -1 AS level, CAST(0 AS BIGINT) AS min_txid, pos AS max_txid FROM p
+  UNION ALL
+  SELECT w.ord + 1, x.level, x.min_txid, x.max_txid
+  FROM walk w JOIN l0 ON l0.cur = w.max_txid JOIN near x ON x.cur = w.max_txid
+  WHERE x.level = CASE WHEN l0.lead <= w.max_txid + 1 THEN 0
+    WHEN w.level > 0 AND EXISTS (SELECT 1 FROM near y WHERE y.cur = w.max_txid AND y.level = w.level) THEN w.level
+    ELSE (SELECT min(y.level) FROM near y WHERE y.cur = w.max_txid AND y.level > 0) END)
+SELECT ord - 1 AS ord, level, min_txid, max_txid FROM walk WHERE ord > 0"""))
+def q45_sync_plan(spark, d):
+    """The files that lead a replica on from a quarter of the log, over holes and levels."""
+    m = manifest(spark, d)
+    plan, _ = restore.sync_plan(m, m.agg(F.expr("max(max_txid) div 4")).first()[0])
+    return spark.createDataFrame([(i, *f) for i, f in enumerate(plan)], "ord long, level int, min_txid long, max_txid long")
