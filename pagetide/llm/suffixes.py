@@ -86,28 +86,61 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _induce_names(t: list[int], small: bytearray, lms: list[int], ends: list[int]) -> list[int]:
+    """_induce for names: one place after the other, as few names are equal and waves would be tiny. ends: where each name's list ends."""
+    n = len(t)
+    sa, tail = [-1] * n, ends.copy()
+    for i in reversed(lms):
+        c = t[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = [0, *ends]
+    sa[head[t[-1]]] = n - 1
+    head[t[-1]] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not small[j]:
+            c = t[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = ends.copy()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small[j]:
+            c = t[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return sa
+
+
 def _order_names(rank: np.ndarray, depth: int) -> np.ndarray:
-    """Sorts the suffixes of the reduced string by doubling, each round the reduction of the one before, until all differ or `depth` names are compared."""
-    m, k = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    while k < depth and rank.max() + 1 < m:
-        key = rank * (m + 1)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        rank = np.empty(m, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        k *= 2
-    return order
+    """Sorts the suffixes of a string of names by their first `depth` names at least, by the same steps: its own
+    leftmost-smaller substrings are sorted by induction and named, their names ordered by recursion, the rest induced."""
+    m = len(rank)
+    if depth <= 1 or int(rank.max()) + 1 == m:
+        return np.argsort(rank, kind="stable")
+    up = np.full(m, -1, np.int8)
+    up[:-1] = np.sign(rank[1:] - rank[:-1])
+    at = np.where(up != 0, np.arange(m), m)
+    at[-1] = m - 1
+    small = up[np.minimum.accumulate(at[::-1])[::-1]] > 0
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    ends = np.cumsum(np.bincount(rank)).tolist()
+    t, kinds = rank.tolist(), bytearray(small.tobytes())
+    if len(lms) > 1:
+        is_lms = np.zeros(m, bool)
+        is_lms[lms] = True
+        first = np.array(_induce_names(t, kinds, lms.tolist(), ends))
+        lms = lms[_order_names(_names(rank, lms, first[is_lms[first]]), -(-depth // 2))]
+    return np.array(_induce_names(t, kinds, lms.tolist(), ends))
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes of the bytes t, sorted by their first `depth` bytes at least.
 
     Suffixes are classified, leftmost-smaller (LMS) substrings sorted by induction and
-    named, the string of names ordered, and the rest induced from it. The
-    string of names has too wide an alphabet for waves, so it is ordered by
-    doubling; an LMS substring advances two bytes or more, which bounds the rounds.
+    named, the string of names ordered by recursion, and the rest induced from it. An LMS substring
+    advances two places or more, so each recursion needs half the depth.
     """
     n = len(t)
     if n < 2:
@@ -119,7 +152,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         is_lms[lms] = True
         first = _induce(t, small, lms)
         rank = _names(t, lms, first[is_lms[first]])
-        lms = lms[_order_names(rank, depth)]
+        lms = lms[_order_names(rank, -(-depth // 2))]
     return _induce(t, small, lms)
 
 
