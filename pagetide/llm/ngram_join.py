@@ -24,6 +24,7 @@ take part as if larger than every id. Repeated rows are one class. Other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import NO_ID, Chunk, Chunks, answer_batch, read_answers, rows, written
-from .graph import components
+from .graph import components, join_salted
 from .textops import U64, grams, hash_words, mix, padded, words
 
 SMALL, LEADERS, BITS = 32, 4, 1024
@@ -254,7 +255,7 @@ class _Exact:
 
 
 class _Across:
-    """Of each tile, the pairs of fitting sizes and bitmaps whose roots differ, one of them outside the largest component. Members of one tile follow one another."""
+    """Of each tile, the pairs of fitting sizes and bitmaps whose roots differ, one of them outside the largest component, one of them of the tile's own band. Members of one tile follow one another."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -264,13 +265,13 @@ class _Across:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            keys, bands = batch.column(0).to_numpy(), batch.column(6).to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (bands[1:] != bands[:-1])) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and keys[lo] != key:
+                if held and (keys[lo], bands[lo]) != key:
                     yield from self.tile(held)
                     held = []
-                key = keys[lo]
+                key = (keys[lo], bands[lo])
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield from self.tile(held)
@@ -279,9 +280,9 @@ class _Across:
         t = pa.Table.from_batches(parts)
         node, n, root, most = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
         bits = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(len(node), -1)
-        rest = root != most
+        rest, own = root != most, t.column(7).to_numpy()
         for i in np.flatnonzero(rest):
-            other = (root != root[i]) & (~rest | (node > node[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * self.percent)
+            other = (own | own[i]) & (root != root[i]) & (~rest | (node > node[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * self.percent)
             j = np.flatnonzero(other)
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             total = n[j] + n[i]
@@ -325,19 +326,30 @@ class NgramJoin:
         return nodes.groupBy(F.shiftright("node", 16).alias("chunk")).agg(F.collect_list(F.hex(two)).alias("l")).select("chunk", F.lit(REPS).alias("bucket"), F.unhex(F.array_join("l", "")).alias("answer"))
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x, *c: self.sets.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in c))
-        maps = pairs.join(side("a", "n", "bitmap"), "a").join(side("b", "n", "bitmap"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
+        """The pairs (a, b) that link. A leader is in many pairs: its row is copied for each load of them."""
+
+        def with_sets(df: DataFrame, *c: str) -> DataFrame:
+            for x, other in (("a", "b"), ("b", "a")):
+                df = join_salted(df, self.sets.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in c)), x, other)
+            return df
+
+        maps = with_sets(pairs, "n", "bitmap").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
         near = written(maps.mapInArrow(_Bound(self.percent), "a long, b long"))
-        full = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
+        full = with_sets(near, "shingles").select("a", "b", "shingles_a", "shingles_b")
         return written(full.mapInArrow(_Exact(self.percent), "a long, b long"))
 
     def _left_over(self) -> DataFrame:
-        """Within large tiles, the pairs of fitting sizes across components: members outside a key's largest component with all that are in another."""
+        """Within large tiles, the pairs of fitting sizes across components: members outside a key's largest component with all that are in another.
+
+        Sizes that fit are of one band or of two next to each other, so a key's members are compared band by band, each with the band below.
+        """
         comp = self.big.join(self.roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         comp = written(comp)
         most = comp.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-        open_ = comp.join(most.select("key", "most"), "key").join(self.sets.select("node", "bitmap"), "node").select("key", "node", "n", "root", "most", "bitmap")
-        tiles = open_.repartition(self.chunks.parts, "key").sortWithinPartitions("key", "node")
+        band = F.floor(F.log("n") / (1.0001 * math.log(100 / self.percent)))  # a little wider, so that rounding parts none
+        open_ = comp.join(most.select("key", "most"), "key").join(self.sets.select("node", "bitmap"), "node").withColumn("own", band)
+        open_ = open_.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("own", F.col("own") == F.col("band"))
+        tiles = open_.select("key", "node", "n", "root", "most", "bitmap", "band", "own").repartition(self.chunks.parts, "key", "band").sortWithinPartitions("key", "band", "node")
         return written(tiles.mapInArrow(_Across(self.percent), "a long, b long").distinct())
 
     def labelled(self) -> DataFrame:
