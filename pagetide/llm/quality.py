@@ -88,7 +88,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(off, SLICE, 4096):
             x = statistics(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).astype(np.float32)
             out += [r.tobytes() for r in x]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *batch.columns[2:]], names=["doc_id", "stats", *batch.schema.names[2:]])
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -152,7 +152,7 @@ def to_bin(raw: np.ndarray) -> np.ndarray:
 
 
 def isotonic(ones: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    """A non-decreasing share of ones for each bin, by pooling adjacent violators; bins between pools are interpolated."""
+    """A non-decreasing share of ones for each bin: the least-squares solution, by pooling adjacent violators; bins that hold nothing are interpolated."""
     pools: list[list[float]] = []
     for at in np.flatnonzero(all_):
         pools.append([float(ones[at]), float(all_[at]), at, at])
@@ -162,8 +162,8 @@ def isotonic(ones: np.ndarray, all_: np.ndarray) -> np.ndarray:
             pools[-1][1] += a
             pools[-1][3] = e
     x = [p for o, a, s, e in pools for p in (s, e)]
-    y = [(o + 0.5) / (a + 1) for o, a, s, e in pools for _ in (s, e)]
-    return np.clip(np.maximum.accumulate(np.interp(np.arange(len(all_)), x, y)), 0, 1)
+    y = [o / a for o, a, s, e in pools for _ in (s, e)]
+    return np.interp(np.arange(len(all_)), x, y)
 
 
 class _Score:
@@ -174,7 +174,7 @@ class _Score:
         for batch in batches:
             n = batch.num_rows
             score = self.curve[to_bin(self.raw.of(batch.column(1)))] if self.raw is not None else np.full(n, self.curve[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= self.threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= self.threshold).astype(np.int32)), *batch.columns[2:]], names=["doc_id", "score", "predicted", *batch.schema.names[2:]])
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -193,8 +193,8 @@ class QualityModel:
         self.raw, self.curve = None, np.full(BINS, count.get(1, 0) / total if total else 0.5)
         if len(count) < 2:
             return
-        s = known.mapInArrow(_moments, "sums binary").collect()
-        m = np.sum([np.frombuffer(r["sums"]).reshape(3, -1) for r in s], axis=0)
+        sums = known.mapInArrow(_moments, "block int, sums binary").repartition(1, "block").mapInArrow(_add_up, "block int, sums binary")
+        m = np.frombuffer(sums.first()["sums"]).reshape(3, -1)
         mean = m[1] / m[0]
         scale = np.sqrt(np.maximum(m[2] / m[0] - mean**2, 0)) + 1e-6
         features = Features(mean, scale, n_features, width)
@@ -211,8 +211,9 @@ class QualityModel:
             self.curve = isotonic(ones, all_)
 
     def score(self, stats: DataFrame) -> DataFrame:
-        """doc_id, score, predicted."""
-        return stats.select("doc_id", "stats").mapInArrow(_Score(self.raw, self.curve, self.threshold), "doc_id long, score double, predicted int")
+        """doc_id, score, predicted, and row if stats has it."""
+        more = [c for c in stats.columns if c == "row"]
+        return stats.select("doc_id", "stats", *more).mapInArrow(_Score(self.raw, self.curve, self.threshold), "doc_id long, score double, predicted int" + ", row long" * len(more))
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,19 +222,20 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             x = _matrix(batch.column(0))
             m += np.stack([np.full(N_STATS, len(x)), x.sum(axis=0), (x**2).sum(axis=0)])
-    yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], names=["sums"])
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["block", "sums"])
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(d.mapInArrow(_stats, "doc_id long, stats binary"))
+def document_statistics(docs: DataFrame, row: str | None = None) -> DataFrame:
+    more = [F.col(row).cast("long").alias("row")] if row else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return written(d.mapInArrow(_stats, "doc_id long, stats binary" + ", row long" * len(more)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of docs (doc_id, text)."""
-    stats = document_statistics(docs)
+def quality_scores(docs: DataFrame, labels: DataFrame, row: str | None = None, **options) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of docs (doc_id, text); row: a column of longs to give beside them, as row."""
+    stats = document_statistics(docs, row)
     got = QualityModel(stats, labels, **options).score(stats)
-    return got.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+    return got.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted", *(["row"] if row else []))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
