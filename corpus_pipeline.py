@@ -1,10 +1,12 @@
 """A training-corpus pipeline over `documents`: five stages, each written as Parquet and reread as the next one's input.
 
-quality: documents that the classifier rejects go (a doc_id with any rejected row goes whole; rows without doc_id are kept).
+quality: rows that the classifier rejects go.
 lines: lines that three documents share go, but from the largest doc_id.
-near_copies: of each group linked at a 5-word-shingle similarity of 0.8 the smallest doc_id stays; rows without doc_id stay.
+near_copies: of each group of rows linked at a 5-word-shingle similarity of 0.8 one stays, that of the smallest doc_id; rows without doc_id come after all others.
 benchmark: documents that hold a benchmark passage go.
 pieces: what is left, encoded and decoded.
+
+The stages that drop rows decide row by row, by a number that is written down first, so repeated ids and rows without doc_id are treated like all others.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.chunks import shared_dir
+from pagetide.llm.chunks import shared_dir, written
 from pagetide.llm.decontaminate import decontaminated
 from pagetide.llm.line_dedup import line_deduped
 from pagetide.llm.ngram_join import ngram_components
@@ -20,10 +22,16 @@ from pagetide.llm.pieces import encode_pieces
 from pagetide.llm.quality import quality_scores
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """n, a number of each row, and row, all of its columns whatever their names."""
+    return written(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scores.where((F.col("predicted") == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    scores = quality_scores(rows.select("row.doc_id", "row.text", "n"), spark.read.parquet(f"{sf_dir}/labels.parquet"), row="n")
+    rejected = scores.where("predicted = 0").select(F.col("row").alias("n"))
+    return rows.join(rejected, "n", "left_anti").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +39,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = ngram_components(docs).where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    groups = ngram_components(rows.select(F.col("n").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("n"), "component_id")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "n")
+    kept = groups.join(rows.select("n", F.col("row.doc_id").alias("id")), "n").groupBy("component_id").agg(F.min(order).alias("first")).select("first.n")
+    return rows.join(kept, "n", "left_semi").select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
