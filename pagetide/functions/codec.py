@@ -180,7 +180,7 @@ def decompress_page(b: bytes, size: int) -> bytes:
     flags, at = b[4], 6 + 8 * bool(b[4] & 8) + 4 * (b[4] & 1)
     if at >= len(b) or b[at] != xxhash.xxh32_intdigest(b[4:at]) >> 8 & 255:
         raise FormatError("LZ4 descriptor checksum mismatch")
-    at, out = at + 1, []
+    at, out, most = at + 1, [], 1 << (2 * (b[5] >> 4 & 7) + 8)
     while True:
         if at + 4 > len(b):
             raise FormatError("short LZ4 frame")
@@ -193,7 +193,7 @@ def decompress_page(b: bytes, size: int) -> bytes:
         if flags & 16 and struct.unpack_from("<I", b, at - 4)[0] != xxhash.xxh32_intdigest(block):
             raise FormatError("LZ4 block checksum mismatch")
         try:
-            out.append(block if n >> 31 else _LZ4.decompress(block, min(size - sum(map(len, out)), 4 << 20), asbytes=True))
+            out.append(block if n >> 31 else _LZ4.decompress(block, min(size - sum(map(len, out)), most), asbytes=True))
         except OSError as e:
             raise FormatError(f"bad LZ4 block: {e}") from e
     data = b"".join(out)

@@ -57,3 +57,17 @@ def is_transient(kind: Column) -> Column:
 
 def listing_line(name: Column, size: Column, created_ms: Column) -> Column:
     return F.concat_ws(" ", name, size.cast("string"), F.coalesce(created_ms.cast("string"), F.lit("-")))
+
+
+def positions(low: Column, high: Column, pre_apply: Column, post_apply: Column) -> Column:
+    """What a file takes a database from and to: (txid, checksum) before and after."""
+    return F.struct(F.struct((low - 1).alias("txid"), pre_apply.alias("checksum")).alias("before"), F.struct(high.alias("txid"), post_apply.alias("checksum")).alias("after"))
+
+
+def valid_flags(flags: Column) -> Column:
+    return flags.bitwiseAND(~2) == 0
+
+
+def visible_ascii(s: Column) -> Column:
+    """What a token or writer id may consist of."""
+    return F.coalesce(s.rlike("^[!-~]+$"), F.lit(False))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import wal_size
+
 
 def fenced(offers: DataFrame, manifest: DataFrame) -> DataFrame:
     """Offers with a verdict: level 0 appends at the end or repeats a file exactly, other levels stay within the bucket."""
@@ -61,6 +63,20 @@ def verify_outcome(d: DataFrame) -> DataFrame:
     return d.withColumn("outcome", outcome)
 
 
+def lineage(remote_max: Column, verified: Column, provisional: Column) -> Column:
+    """What a writer does before it first changes a bucket: it goes on where the bucket ends where it left it; if not, another's files are there or its own are gone.
+
+    A provisional position, known from local files only, may lie ahead of the bucket. Outcomes: ours, adopt (take the newest remote file as base), reseed (the bucket is empty)."""
+    foreign = F.when(provisional, remote_max > verified).otherwise(remote_max != verified)
+    return F.when(~foreign, "ours").when(remote_max > 0, "adopt").otherwise("reseed")
+
+
+def checkpoint(page_size: Column, size_before: Column, size_now: Column, passive: int = 1000, truncate: int = 121_359) -> Column:
+    """Which checkpoint a log of these sizes needs, by its number of pages; a truncate of 0 is none."""
+    big = (size_before >= wal_size(page_size, F.lit(truncate).cast("long"))) & F.lit(truncate > 0)
+    return F.when(page_size == 0, "none").when(big, "truncate").when(size_now >= wal_size(page_size, F.lit(passive).cast("long")), "passive").otherwise("none")
+
+
 def divergence(bucket_max: Column, position: Column) -> Column:
     """diverged if the bucket ends before the replica's position, unless it is empty."""
     return F.when(bucket_max == 0, "empty").when(bucket_max < position, "diverged").when(bucket_max == position, "current").otherwise("behind")

@@ -42,7 +42,7 @@ def covered_l0(manifest: DataFrame, cutoff: Column) -> DataFrame:
 def due(manifest: DataFrame, intervals: dict[int, int], now: Column) -> DataFrame:
     """Which levels are due: no file, or the newest is intervals[level] seconds old."""
     spark = manifest.sparkSession
-    want = spark.createDataFrame(sorted(intervals.items()), "level int, seconds int")
+    want = spark.createDataFrame(sorted(intervals.items()), "level int, seconds long")
     newest = manifest.groupBy("level").agg(F.max_by("created_at", "max_txid").alias("newest_at"))
     age = F.unix_timestamp(now) - F.unix_timestamp("newest_at")
     return want.join(newest, "level", "left").select("level", F.coalesce(age >= F.col("seconds"), F.lit(True)).alias("due"))

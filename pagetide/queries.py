@@ -478,3 +478,16 @@ def q45_sync_plan(spark, d):
     m = manifest(spark, d)
     plan, _ = restore.sync_plan(m, m.agg(F.expr("max(max_txid) div 4")).first()[0])
     return spark.createDataFrame([(i, *f) for i, f in enumerate(plan)], "ord long, level int, min_txid long, max_txid long")
+
+
+@query(_m(" SELECT p AS verified, p % 3 = 0 AS provisional, CASE WHEN CASE WHEN p % 3 = 0 THEN b <= p ELSE b = p END THEN 'ours' WHEN b > 0 THEN 'adopt' ELSE 'reseed' END AS outcome FROM (SELECT max(max_txid) AS b FROM manifest WHERE level = 0), (SELECT unnest(range(0, 2001, 10)) AS p)"))
+def q46_lineage(spark, d):
+    b = manifest(spark, d).where("level = 0").agg(F.max("max_txid").alias("b"))
+    p = spark.range(0, 2001, 10).select(F.col("id").alias("verified"), (F.col("id") % 3 == 0).alias("provisional")).join(F.broadcast(b), F.lit(True))
+    return p.select("verified", "provisional", fence.lineage(F.col("b"), F.col("verified"), F.col("provisional")).alias("outcome"))
+
+
+@query(_f(" SELECT seq, CASE WHEN 32 + 4120 * (seq // 2) >= 32 + 4120 * 121359 THEN 'truncate' WHEN 32 + 4120 * seq >= 32 + 4120 * 1000 THEN 'passive' ELSE 'none' END AS checkpoint FROM frames"))
+def q47_checkpoint_thresholds(spark, d):
+    size = lambda n: C.wal_size(F.lit(4096), n)
+    return frames(spark, d).select("seq", fence.checkpoint(F.lit(4096), size(F.expr("seq div 2")), size(F.col("seq"))).alias("checkpoint"))
