@@ -380,14 +380,19 @@ def _image(seq):
     return F.repeat(F.md5(seq.cast("string").cast("binary")), 16).cast("binary")
 
 
-def _bucket(spark, d, *levels: tuple[int, int]) -> str:
-    """A bucket written from the log in the shared folder: for each (level, transactions a file) the newest version of each page of each file."""
+def _bucket(spark, d, level: int, size: int, base: bool = False) -> str:
+    """A bucket written from the log in the shared folder: the newest version of each page in each `size` transactions, as files of a level.
+
+    Transaction t of the log is t + 1 of the bucket; base: transaction 1 is a file of all pages.
+    """
     root = shared_folder(spark)
-    for level, size in levels:
-        f = frames(spark, d).where(F.col("pgno") <= DB_PAGES).withColumn("k", F.expr(f"(txid - 1) div {size}"))
-        ends = f.groupBy("k").agg(F.min("txid").alias("min_txid"), F.max("txid").alias("max_txid"))
-        one = f.groupBy("k", "pgno").agg(F.max("seq").alias("seq")).join(ends, "k")
-        sink.write_files(one.select(F.lit(level).alias("level"), "min_txid", "max_txid", F.lit(DB_PAGES).alias("commit"), (F.col("max_txid") * 1000).alias("ts_ms"), "pgno", _image(F.col("seq")).alias("data")), root)
+    f = frames(spark, d).where(F.col("pgno") <= DB_PAGES).withColumn("k", F.expr(f"(txid - 1) div {size}"))
+    ends = f.groupBy("k").agg((F.min("txid") + 1).alias("min_txid"), (F.max("txid") + 1).alias("max_txid"))
+    one = f.groupBy("k", "pgno").agg(F.max("seq").alias("seq")).join(ends, "k").select("min_txid", "max_txid", "pgno", "seq")
+    if base:
+        all_ = spark.range(1, DB_PAGES + 1).select(F.lit(1).alias("min_txid"), F.lit(1).alias("max_txid"), F.col("id").alias("pgno"), (-F.col("id")).alias("seq"))
+        one = one.unionByName(all_)
+    sink.write_files(one.select(F.lit(level).alias("level"), "min_txid", "max_txid", F.lit(DB_PAGES).alias("commit"), (F.col("max_txid") * 1000).alias("ts_ms"), "pgno", _image(F.col("seq")).alias("data")), root)
     return root
 
 
@@ -395,19 +400,19 @@ def _text(data):
     return F.substring(data.cast("string"), 1, 32)
 
 
-_FILES = f", f AS (SELECT *, (txid - 1) // 64 AS k FROM frames WHERE pgno <= {DB_PAGES}), e AS (SELECT k, min(txid) AS min_txid, max(txid) AS max_txid FROM f GROUP BY k), w AS (SELECT k, pgno, max(seq) AS seq FROM f GROUP BY ALL)"
+_FILES = f", f AS (SELECT *, (txid - 1) // 64 AS k FROM frames WHERE pgno <= {DB_PAGES}), e AS (SELECT k, min(txid) + 1 AS min_txid, max(txid) + 1 AS max_txid FROM f GROUP BY k), w AS (SELECT k, pgno, max(seq) AS seq FROM f GROUP BY ALL)"
 
 
 @query(_f(_FILES + " SELECT 2 AS level, min_txid, max_txid, pgno, md5(CAST(seq AS VARCHAR)) AS image FROM w JOIN e USING (k)"))
 def q39_files_round_trip(spark, d):
     """Log files are written and read back: manifest, then the pages of each."""
-    root = _bucket(spark, d, (2, 64))
+    root = _bucket(spark, d, 2, 64)
     return log_files.pages(spark, root).select("level", "min_txid", "max_txid", F.col("pgno").cast("long"), _text(F.col("data")).alias("image"))
 
 
 @query(_f(_FILES + f" SELECT min_txid, max_txid, {DB_PAGES} AS commit, 512 AS page_size, max_txid * 1000 AS ts_ms, (SELECT count(*) FROM w WHERE w.k = e.k) AS pages, true AS ok FROM e"))
 def q40_headers_and_verification(spark, d):
-    root = _bucket(spark, d, (2, 64))
+    root = _bucket(spark, d, 2, 64)
     m = log_files.manifest(spark, root)
     ok = log_files.verify(m).select("path", "ok", "pages")
     return log_files.headers(spark, root).join(ok, "path").select("min_txid", "max_txid", F.col("commit").cast("int"), F.col("page_size").cast("int"), "ts_ms", "pages", "ok")
@@ -416,7 +421,7 @@ def q40_headers_and_verification(spark, d):
 @query(_f(_FILES + " SELECT min_txid, max_txid, pgno, md5(CAST(seq AS VARCHAR)) AS image FROM w JOIN e USING (k)"))
 def q41_pages_by_index(spark, d):
     """Each page read alone, from the place that its file's index names."""
-    root = _bucket(spark, d, (2, 64))
+    root = _bucket(spark, d, 2, 64)
     m = log_files.manifest(spark, root)
     places = log_files.page_index(m).where("error is null")
     got = log_files.page_at(places, 512)
@@ -426,25 +431,22 @@ def q41_pages_by_index(spark, d):
 @query(_f(_FILES.replace("// 64", "// 1000000000") + " SELECT 1 AS level, min_txid, max_txid, pgno, md5(CAST(seq AS VARCHAR)) AS image FROM w JOIN e USING (k)"))
 def q42_compact_level(spark, d):
     """Files of level 0 compacted into one of level 1, which is read back."""
-    root = _bucket(spark, d, (0, 16))
+    root = _bucket(spark, d, 0, 16)
     maintain.compact_level(spark, root, 1)
     plan = log_files.manifest(spark, root).where("level = 1")
     return log_files.pages(spark, root, plan).select("level", "min_txid", "max_txid", "pgno", _text(F.col("data")).alias("image"))
 
 
-@query(_f(f""", w AS (SELECT pgno, max(seq) AS seq FROM frames WHERE pgno <= {DB_PAGES} GROUP BY pgno)
-SELECT pgno, md5(CAST(seq AS VARCHAR)) AS image, (SELECT max(txid) FROM frames) AS txid FROM w WHERE (SELECT count(*) FROM w) = {DB_PAGES}"""))
+@query(_f(f""", w AS (SELECT pgno, max(seq) AS seq FROM frames GROUP BY pgno)
+SELECT p.pgno, md5(CAST(coalesce(seq, -p.pgno) AS VARCHAR)) AS image, (SELECT max(txid) + 1 FROM frames WHERE pgno <= {DB_PAGES}) AS txid FROM (SELECT unnest(range(1, {DB_PAGES} + 1)) AS pgno) p LEFT JOIN w USING (pgno)"""))
 def q43_restore_image(spark, d):
-    """A snapshot and what followed restored to an image of pages 1 to commit, read back by page; no rows while the log lacks a page."""
-    out = "pgno long, image string, txid long"
-    if frames(spark, d).where(F.col("pgno") <= DB_PAGES).agg(F.countDistinct("pgno")).first()[0] < DB_PAGES:
-        return spark.createDataFrame([], out)
-    root = _bucket(spark, d, (0, 256))
+    """The bucket's end as a snapshot, and that as a database image of pages 1 to commit, read back by page."""
+    root = _bucket(spark, d, 0, 256, base=True)
     end = maintain.snapshot(spark, root)
     plan = log_files.manifest(spark, root).where("level = 9")
     sink.write_image(log_files.pages(spark, root, plan), f"{root}/image", DB_PAGES, 512)
-    files = spark.read.format("binaryFile").load(f"{root}/image")
-    return log_files.database_pages(files, 512).select("pgno", _text(F.col("data")).alias("image"), F.lit(end).alias("txid"))
+    image = spark.read.format("binaryFile").load(f"{root}/image")
+    return log_files.database_pages(image, 512).select("pgno", _text(F.col("data")).alias("image"), F.lit(end).alias("txid"))
 
 
 @query(_f(f" SELECT pgno, arg_max(data, seq) AS data, arg_max(txid, seq) AS txid FROM frames GROUP BY pgno HAVING pgno <= {DB_PAGES}"))
