@@ -135,6 +135,11 @@ def pages(spark: SparkSession, root: str, plan: DataFrame | None = None) -> Data
     return _mapped(m, PAGES, _pages)
 
 
+def pages_of(paths: DataFrame) -> DataFrame:
+    """A row for each page of the log files at paths; works on streams of paths too."""
+    return _mapped(paths, PAGES, _pages)
+
+
 def _index(path: str) -> Iterator[tuple]:
     end = size_of(path)
     (size,) = struct.unpack(">Q", read(path, max(0, end - 24), 8))

@@ -3,8 +3,8 @@
 A micro-batch holds rows (txid, pgno, data, commit, seq) of transactions in any order. The position is the end of the longest run of
 transactions without a hole; what lies beyond a hole is held back until the hole is filled by a later batch or bridged by
 compacted files, and no transaction is ever passed over. A transaction's rows come in one batch, as a log file's do; if they may
-be split, a column n_rows says how many rows it has, and it counts as there when all have come. Rows at or below the
-position are repeats and dropped.
+be split, a column n_rows says how many rows it has, and it counts as there when all have come. Rows of a file of many transactions carry
+its last as txid and its first as low. Rows at or below the position are repeats and dropped.
 
 The state is a log-structured table: each batch adds one *run* (the newest version of each page that it touched, and a
 tombstone for each page that a smaller commit cut off), and `fanout` runs of a level are merged into one of the next. A batch
@@ -19,6 +19,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.store import Store
@@ -29,7 +30,9 @@ _NOTHING = {"batch": -1, "position": 0, "commit": 0, "runs": [], "held": None, "
 
 def contiguous_end(rows: DataFrame, position: int) -> tuple[int, int | None]:
     """The end of the run of whole transactions that follows position, and the first transaction beyond it (None: none)."""
-    whole = rows.groupBy("txid").agg(F.count("*").alias("n"), F.max("n_rows").alias("n_rows")).where("n >= coalesce(n_rows, n)").select("txid")
+    there = rows.groupBy("txid").agg(F.count("*").alias("n"), F.max("n_rows").alias("n_rows"), F.min("low").alias("low")).where("n >= coalesce(n_rows, n)")
+    first = F.least("txid", F.greatest("low", F.lit(position + 1)))
+    whole = there.select(F.explode(F.sequence(first, "txid")).alias("txid")).distinct()
     heads = whole.join(whole.select((F.col("txid") + 1).alias("txid")), "txid", "left_anti")  # each begins a run
     hole = heads.where(F.col("txid") > position + 1).agg(F.min("txid")).first()[0]
     before = whole.where(F.col("txid") < hole) if hole else whole
@@ -38,7 +41,7 @@ def contiguous_end(rows: DataFrame, position: int) -> tuple[int, int | None]:
 
 
 class Follower:
-    """Applies batches; on_gap(position, next transaction there is) may give rows of compacted files that lead on from position (txid: a file's last)."""
+    """Applies batches; on_gap(position, next transaction there is) may give rows of a compacted file that leads on from position."""
 
     def __init__(self, spark: SparkSession, root: str, on_gap: Callable[[int, int], DataFrame | None] | None = None, fanout: int = 8):
         self.spark, self.root, self.on_gap, self.fanout, self.events = spark, root.rstrip("/"), on_gap, fanout, []
@@ -64,10 +67,9 @@ class Follower:
     def _delta(self, rows: DataFrame, size: int) -> tuple[DataFrame, int]:
         """What rows of consecutive transactions leave of each page, after a state of so many pages; and the size after them."""
         sizes = rows.where("commit > 0").groupBy("txid").agg(F.max_by("commit", "seq").alias("db_pages"))
-        steps = rows.select("txid").distinct().join(sizes, "txid", "left")
-        low, last = steps.agg(F.min("txid"), F.max_by("db_pages", F.when(F.col("db_pages").isNotNull(), F.col("txid")))).first()
-        before = steps.select((F.col("txid") + 1).alias("txid"), F.col("db_pages").alias("before")).unionByName(self.spark.createDataFrame([(low, size)], "txid long, before long"))
-        cut = steps.join(before, "txid").where("db_pages < before")
+        last = sizes.agg(F.max_by("db_pages", "txid")).first()[0]
+        steps = sizes.withColumn("before", F.lag("db_pages", 1, size).over(W.orderBy("txid")))  # one row a transaction of the batch
+        cut = steps.where("db_pages < before")
         cut = cut.select(F.explode(F.sequence(F.col("db_pages") + 1, F.col("before"))).alias("pgno"), "txid")
         data = rows.schema["data"].dataType
         dead = cut.select("pgno", F.lit(None).cast(data).alias("data"), "txid", F.lit(True).alias("gone"), F.lit(_LAST).alias("seq"))
@@ -79,9 +81,10 @@ class Follower:
         p = self.pointer()
         if batch_id <= p["batch"]:
             return
-        if "n_rows" not in df.columns:
-            df = df.withColumn("n_rows", F.lit(None).cast("long"))
-        names = ["txid", "pgno", "data", "commit", "seq", "n_rows"]
+        for name in {"n_rows", "low"} - set(df.columns):
+            df = df.withColumn(name, F.lit(None).cast("long"))
+        names = ["txid", "low", "pgno", "data", "commit", "seq", "n_rows"]
+        df = df.withColumn("low", F.coalesce("low", "txid"))
         rows = df.select(*names).where(F.col("txid") > p["position"])
         if p["held"]:
             rows = rows.unionByName(self.spark.read.parquet(f"{self.root}/{p['held']}").select(*names))

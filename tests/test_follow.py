@@ -88,3 +88,35 @@ def test_against_plain_application(spark, tmp_path, seed):
         f(frame(spark, [r for rows in log[i : i + 6] for r in rows]), i)
     assert f.position() == 40 and pages(f) == state
     assert len(f.pointer()["runs"]) <= 4
+
+
+def test_follow_bucket(spark, tmp_path):
+    from pagetide.plans import maintain
+    from pagetide.sinks import log_files as sink
+    from pagetide.sources.store import Store
+    from pagetide.streaming.bucket import follow_bucket
+
+    from .test_files import COLS, transactions
+
+    root = str(tmp_path / "bucket")
+    rows, states = transactions(14, seed=5)
+    put = lambda low, high: sink.write_files(spark.createDataFrame([r for r in rows if low <= r[1] <= high], COLS), root)
+
+    def run():
+        follower, query = follow_bucket(spark, root, str(tmp_path / "state"), str(tmp_path / "ck"))
+        query.awaitTermination()
+        return follower
+
+    put(1, 4)
+    f = run()
+    assert f.position() == 4 and pages(f) == states[3]
+    put(5, 9)
+    maintain.compact_level(spark, root, 1)
+    Store(root).delete(*(f"0/{t:016x}-{t:016x}.ltx" for t in range(5, 9)))
+    f = run()  # 5 to 8 are gone from level 0: level 1 bridges them
+    assert f.position() == 9 and pages(f) == states[8] and f.events[0][1] == "bridged"
+    put(10, 14)
+    maintain.snapshot(spark, root)
+    Store(root).delete(*(f"0/{t:016x}-{t:016x}.ltx" for t in range(9, 14)), "1")
+    f = run()
+    assert f.position() == 14 and pages(f) == states[13]
