@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import wal_size
 
 
-def fenced(offers: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Offers with a verdict: level 0 appends at the end or repeats a file exactly, other levels stay within the bucket."""
+def fenced(offers: DataFrame, manifest: DataFrame, content: str | None = None) -> DataFrame:
+    """Offers with a verdict: level 0 appends at the end or repeats a file exactly, other levels stay within the bucket. content: a column of both, a digest, that a repeat must share."""
     tops = manifest.agg(F.coalesce(F.max(F.when(F.col("level") == 0, F.col("max_txid"))), F.lit(0)).alias("cur"), F.coalesce(F.max("max_txid"), F.lit(0)).alias("bucket_max"))
-    same = manifest.select("level", "min_txid", "max_txid", F.lit(True).alias("stored"))
+    same = manifest.select("level", "min_txid", "max_txid", (F.col(content) if content else F.lit(True)).alias("stored"))
     o = offers.join(same, ["level", "min_txid", "max_txid"], "left").join(F.broadcast(tops), F.lit(True))
-    l0 = F.when(F.col("stored"), "repeat").when((F.col("cur") == 0) | (F.col("min_txid") == F.col("cur") + 1), "append").otherwise("conflict")
+    equal = F.col("stored") == F.col(content) if content else F.col("stored")
+    l0 = F.when(F.coalesce(equal, F.lit(False)), "repeat").when(F.col("stored").isNotNull(), "conflict").when((F.col("cur") == 0) | (F.col("min_txid") == F.col("cur") + 1), "append").otherwise("conflict")
     verdict = F.when(F.col("level") == 0, l0).when(F.col("max_txid") <= F.col("bucket_max"), "within").otherwise("conflict")
     return o.withColumn("verdict", verdict).drop("stored", "cur", "bucket_max")
 

@@ -410,12 +410,14 @@ def q39_files_round_trip(spark, d):
     return log_files.pages(spark, root).select("level", "min_txid", "max_txid", F.col("pgno").cast("long"), _text(F.col("data")).alias("image"))
 
 
-@query(_f(_FILES + f" SELECT min_txid, max_txid, {DB_PAGES} AS commit, 512 AS page_size, max_txid * 1000 AS ts_ms, (SELECT count(*) FROM w WHERE w.k = e.k) AS pages, true AS ok FROM e"))
+@query(_f(_FILES + f" SELECT min_txid - 1 AS from_txid, max_txid AS to_txid, {DB_PAGES} AS commit, 512 AS page_size, max_txid * 1000 AS ts_ms, (SELECT count(*) FROM w WHERE w.k = e.k) AS pages, true AS ok FROM e"))
 def q40_headers_and_verification(spark, d):
     root = _bucket(spark, d, 2, 64)
     m = log_files.manifest(spark, root)
     ok = log_files.verify(m).select("path", "ok", "pages")
-    return log_files.headers(spark, root).join(ok, "path").select("min_txid", "max_txid", F.col("commit").cast("int"), F.col("page_size").cast("int"), "ts_ms", "pages", "ok")
+    h = log_files.headers(spark, root).where(C.valid_flags(F.col("flags")) & C.valid_page_size(F.col("page_size")))
+    h = h.withColumn("p", C.positions(F.col("min_txid"), F.col("max_txid"), F.col("pre_apply"), F.lit(None).cast("string")))
+    return h.join(ok, "path").select(F.col("p.before.txid").alias("from_txid"), F.col("p.after.txid").alias("to_txid"), F.col("commit").cast("int"), F.col("page_size").cast("int"), "ts_ms", "pages", "ok")
 
 
 @query(_f(_FILES + " SELECT min_txid, max_txid, pgno, md5(CAST(seq AS VARCHAR)) AS image FROM w JOIN e USING (k)"))
@@ -493,3 +495,20 @@ def q46_lineage(spark, d):
 def q47_checkpoint_thresholds(spark, d):
     size = lambda n: C.wal_size(F.lit(4096), n)
     return frames(spark, d).select("seq", fence.checkpoint(F.lit(4096), size(F.expr("seq div 2")), size(F.col("seq"))).alias("checkpoint"))
+
+
+@query(_m(_OFFERS.format(level="0") + """ SELECT offer_n, min_txid, max_txid, CASE WHEN EXISTS (SELECT 1 FROM manifest m WHERE m.level = 0 AND m.min_txid = o.min_txid AND m.max_txid = o.max_txid) THEN CASE WHEN offer_n % 2 = 0 THEN 'repeat' ELSE 'conflict' END WHEN min_txid = c + 1 THEN 'append' ELSE 'conflict' END AS verdict FROM offers o, cur"""))
+def q48_repeated_files(spark, d):
+    """Files offered again, every other one with other bytes than those stored."""
+    digest = lambda *c: F.sha2(F.concat_ws(":", *c), 256).alias("digest")
+    stored = manifest(spark, d).select("*", digest("min_txid", "max_txid", F.lit(0)))
+    offers = _offers(spark, d, F.lit(0)).select("*", digest("min_txid", "max_txid", F.col("offer_n") % 2))
+    return fence.fenced(offers, stored, "digest").select("offer_n", "min_txid", "max_txid", "verdict")
+
+
+@query("SELECT writer, count(*) AS n, regexp_full_match(writer, '[!-~]+') AS valid FROM (SELECT CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || ' x' WHEN 2 THEN '' ELSE 'é' || event_type END AS writer FROM events) GROUP BY writer")
+def q49_writer_ids(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")
+    k = F.col("event_id") % 4
+    w = F.when(k == 0, F.col("event_type")).when(k == 1, F.concat("event_type", F.lit(" x"))).when(k == 2, "").otherwise(F.concat(F.lit("é"), "event_type"))
+    return e.groupBy(w.alias("writer")).agg(F.count("*").alias("n")).withColumn("valid", C.visible_ascii(F.col("writer")))
