@@ -164,6 +164,16 @@ def test_buckets_are_settled_alike_however_many(spark, docs, monkeypatch):
         assert a.equals(b)
 
 
+def test_release_drops_tables_and_files(spark, docs):
+    import os
+
+    made = chunks.Chunks(docs)
+    path = chunks._MADE[made.table].removeprefix("file:")
+    assert made.df().count() > 0 and os.path.isdir(path)
+    chunks.release(spark)
+    assert not os.path.exists(path) and not [t for t in spark.catalog.listTables() if t.name.startswith("pagetide_")]
+
+
 def test_long_words_side_by_side_and_alone():
     p = Pieces()
     rng = np.random.default_rng(8)
