@@ -512,3 +512,10 @@ def q49_writer_ids(spark, d):
     k = F.col("event_id") % 4
     w = F.when(k == 0, F.col("event_type")).when(k == 1, F.concat("event_type", F.lit(" x"))).when(k == 2, "").otherwise(F.concat(F.lit("é"), "event_type"))
     return e.groupBy(w.alias("writer")).agg(F.count("*").alias("n")).withColumn("valid", C.visible_ascii(F.col("writer")))
+
+
+@query(_m(" SELECT min_txid, max_txid FROM manifest WHERE level = 0 AND max_txid < (SELECT max(max_txid) FROM manifest WHERE level = 2) AND max_txid < (SELECT max(max_txid) FROM manifest WHERE level = 0)"))
+def q50_prune_local(spark, d):
+    """The local files of level 0 that may go, if the bucket ends where level 2 does."""
+    m = manifest(spark, d)
+    return maintain.prune_local(m, m.where("level = 2").agg(F.max("max_txid")).first()[0] or 0).select("min_txid", "max_txid")

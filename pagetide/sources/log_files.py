@@ -45,8 +45,6 @@ def manifest(spark: SparkSession, root: str, seek: int = 0, exact_time: bool = F
 
 def _place(path: str) -> tuple[Store, str]:
     folder, _, name = path.rpartition("/")
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder[5:]
     return Store(folder), name
 
 

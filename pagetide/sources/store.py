@@ -6,6 +6,7 @@ name that no listing takes, then moved there.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,19 +17,20 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Only a local session may do without that setting: it gets one under the warehouse."""
+    """A new folder below spark.checkpoint.dir. Only a local session, whose one machine shares everything, may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/pagetide-checkpoints")
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/pagetide-{uuid.uuid4().hex}"
 
 
 class Store:
     def __init__(self, root: str):
-        self.root = root.rstrip("/")
+        short = root.startswith("file:/") and not root.startswith("file://")  # as Spark writes local paths
+        self.root = ("file://" + root[5:] if short else root).rstrip("/")
 
     def _open(self, name: str = "") -> tuple[pafs.FileSystem, str]:
         return pafs.FileSystem.from_uri(f"{self.root}/{name}" if name else self.root)
