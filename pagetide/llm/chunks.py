@@ -47,11 +47,10 @@ _MADE: dict[str, str] = {}
 shared_dir = shared_folder
 
 
-def written(df: DataFrame, *parts: str) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read back: the plan is cut there."""
     path = shared_dir(df.sparkSession)
-    w = df.write.partitionBy(*parts) if parts else df.write
-    w.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
