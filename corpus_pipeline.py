@@ -6,7 +6,7 @@ near_copies: of each group of rows linked at a 5-word-shingle similarity of 0.8
 benchmark: documents that hold a benchmark passage go.
 pieces: what is left, encoded and decoded.
 
-The stages that drop rows decide row by row, by a number that is written down first, so repeated ids and rows without doc_id are treated like all others.
+The stages that drop rows decide row by row, so repeated ids and rows without doc_id are treated like all others.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from pagetide.llm.quality import quality_scores
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """n, a number of each row, and row, all of its columns whatever their names."""
-    return written(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")))
+    return written(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")), compression="zstd")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    scores = quality_scores(rows.select("row.doc_id", "row.text", "n"), spark.read.parquet(f"{sf_dir}/labels.parquet"), row="n")
-    rejected = scores.where("predicted = 0").select(F.col("row").alias("n"))
-    return rows.join(rejected, "n", "left_anti").select("row.*")
+    """A score depends on the text alone, so a row is told by its id and its text's hash."""
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63))).alias("k")
+    scores = quality_scores(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), spark.read.parquet(f"{sf_dir}/labels.parquet"), row="th")
+    rejected = scores.where("predicted = 0").select(known("doc_id"), F.col("row").alias("th")).distinct()
+    return docs.select(known("doc_id"), F.xxhash64("text").alias("th"), F.struct("*").alias("row")).join(rejected, ["k", "th"], "left_anti").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
