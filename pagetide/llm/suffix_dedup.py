@@ -3,7 +3,7 @@
 A byte goes when a string of ``length`` bytes that covers it also starts
 elsewhere. Suffix arrays of separate shards only see repeats within a shard, so
 texts are first cut such that all occurrences of a string meet in one: the
-smallest of the hashes of all GRAM-grams in a string (the leftmost, if equal)
+smallest of the ranks of all GRAM-grams in a string (bits of their hashes; the leftmost, if equal)
 is its *anchor*, and equal strings have it at equal places. The starts that
 share an anchor form one fragment of text, keyed by the 132 bytes that they
 all hold before or after it.
@@ -34,68 +34,85 @@ from .suffixes import permuted_lcp, suffix_array
 from .textops import U64, mix
 
 GRAM = 64
+#: Places that are looked at together.
+BLOCK = 1 << 15
 _RNG = np.random.default_rng(20240607)
 _TAB = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | U64(1)
 _BASE = 0x9E3779B97F4A7C15
 SHARD_BYTES = 2 << 20
 
 
-def _gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of all GRAM-grams, by doubling."""
-    h, m = _TAB[b], 1
-    while m < GRAM:
-        h = h[:-m] * U64(pow(_BASE, m, 2**64)) + h[m:]
-        m *= 2
-    return h
-
-
-def _anchors(h: np.ndarray, wide: int) -> np.ndarray:
-    """For each run of `wide` hashes, the place of the smallest, the leftmost of equal ones."""
-    n, low = len(h), U64(0xFF)
-    starts = n - wide + 1
-    grid = np.full(-(-n // wide) * wide, U64(2**64 - 1))
-    grid[:n] = mix(h) & ~low
-    grid = grid.reshape(-1, wide)
-    grid |= np.arange(wide, dtype=U64)
-    before = np.minimum.accumulate(grid, axis=1).ravel()[wide - 1 : wide - 1 + starts]
-    after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()[:starts]
-    s = np.arange(starts)
-    first = (after | low) <= (before | low)
-    block = s // wide * wide
-    return np.where(first | (s % wide == 0), block + (after & low).astype(np.int64), block + wide + (before & low).astype(np.int64))
+def _powers(x: int) -> np.ndarray:
+    out = np.full(BLOCK + GRAM, x, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+_PLACE, _LOW = np.arange(BLOCK, dtype=np.uint32), np.uint32(BLOCK - 1)
+
+
+def _windows(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial hashes of all GRAM-grams, and the runs [lo, hi] of starts within a text that share an anchor, cut where it comes nearer than half.
+
+    Texts pass in blocks that stay in the cache. A gram's rank is the upper 17 bits of its hash, its place in the block the 15 below:
+    the smallest of a window is the leftmost of the smallest rank, and holds its place.
+    """
+    wide, half, starts = length - GRAM + 1, (length - GRAM) // 2, len(b) - length + 1
+    h = np.empty(len(b) - GRAM + 1, np.uint64)
+    sums = np.zeros(BLOCK + GRAM, np.uint64)
+    cuts = np.unique(np.concatenate([off[:-1], np.maximum(off[:-1], off[1:] - length + 1)]))
+    lo, at, last = [], [], -1
+    for p in range(0, starts, BLOCK - wide + 1):
+        m = min(BLOCK, len(h) - p)
+        n = m + GRAM - 1
+        x = _TAB[b[p : p + n]]
+        x *= _DOWN[:n]
+        np.cumsum(x, out=sums[1 : n + 1])
+        g = np.multiply(sums[GRAM : n + 1] - sums[:m], _UP[GRAM - 1 : n], out=h[p : p + m])
+        v = (g >> U64(32)).astype(np.uint32) & ~_LOW
+        v |= _PLACE[:m]
+        w = 1
+        while w < wide:
+            d = min(w, wide - w)
+            v, w = np.minimum(v[:-d], v[d:]), w + d
+        v &= _LOW
+        new = np.empty(len(v), bool)
+        new[0] = int(v[0]) + p != last
+        np.not_equal(v[1:], v[:-1], out=new[1:])
+        new |= v - _PLACE[: len(v)] == half - 1
+        new[cuts[slice(*np.searchsorted(cuts, [p, p + len(v)]))] - p] = True
+        i = np.flatnonzero(new)
+        lo.append(i + p)
+        at.append(v[i].astype(np.int64) + p)
+        last = int(v[-1]) + p
+    first, anchor = np.concatenate(lo), np.concatenate(at)
+    inside = first <= np.repeat(off[1:] - length, np.diff(np.searchsorted(first, off)))
+    return h, first[inside], (np.append(first[1:], starts) - 1)[inside], anchor[inside]
 
 
 class _Fragments:
     """A chunk's fragments: windows [lo, hi] of starts around anchor at, with key and fragment hash, sorted and without repeats."""
 
     def __init__(self, c: Chunk, length: int):
-        self.length, n = length, int(c.off[-1])
-        wide, half = length - GRAM + 1, (length - GRAM) // 2
+        half = (length - GRAM) // 2
         self.lo = self.hi = self.at = np.zeros(0, np.int64)
         self.key = self.frag = np.zeros(0, U64)
-        if n >= length:
-            h = _gram_hashes(c.raw)
-            a = _anchors(h, wide)
-            ok = np.zeros(n + 1, np.int64)
-            size = np.diff(c.off)
-            long = size >= length
-            np.add.at(ok, c.off[:-1][long], 1)
-            np.add.at(ok, c.off[1:][long] - length + 1, -1)
-            s = np.flatnonzero(np.cumsum(ok)[: len(a)] > 0)
-            a = a[s]
-            left = a - s >= half
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1) | (left[1:] != left[:-1])]) if len(s) else np.zeros(0, bool)
-            i = np.flatnonzero(new)
-            j = np.append(i[1:], len(s))[: len(i)] - 1
-            self.lo, self.hi, self.at = s[i], s[j], a[i]
-            core = np.where(left[i], self.at - half, self.at)
-            self.key = mix(h[core] * U64(3) + mix(h[core + half]) + left[i].astype(U64)) & ~U64(0xFF)
+        if len(c.raw) >= length:
+            h, self.lo, self.hi, self.at = _windows(c.raw, c.off, length)
+            left = self.at - self.lo >= half
+            core = np.where(left, self.at - half, self.at)
+            self.key = mix(h[core] * U64(3) + mix(h[core + half]) + left.astype(U64)) & ~U64(0xFF)
             f = (self.at - self.lo).astype(U64) << U64(20) | (self.hi - self.lo).astype(U64)
             last = self.hi + length - GRAM
             for k in range(2 * length // GRAM + 1):
                 f = mix(f * U64(_BASE) + h[np.minimum(self.lo + GRAM * k, last)])
             self.frag = f & U64(2**48 - 1)
-        order = np.lexsort((self.frag, self.key))
+        order = np.argsort(self.key)
+        same = self.key[order[1:]] == self.key[order[:-1]]
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(order) else order
+        alike = order[tied]
+        order[tied] = alike[np.lexsort((self.frag[alike], self.key[alike]))]
         self.lo, self.hi, self.at, self.key, self.frag = (x[order] for x in (self.lo, self.hi, self.at, self.key, self.frag))
         new = np.concatenate([[True], (self.key[1:] != self.key[:-1]) | (self.frag[1:] != self.frag[:-1])]) if len(order) else np.zeros(0, bool)
         self.first = np.flatnonzero(new)
@@ -226,40 +243,46 @@ class _Shards:
         return [both[a : a + n] for a, n in zip(at, starts, strict=True)]
 
 
+def _united(lo: np.ndarray, end: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges within texts, in order and united where they overlap or touch within a text."""
+    order = np.argsort(lo)
+    lo, reach = lo[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > reach[:-1]
+    touch = np.flatnonzero(lo[1:] == reach[:-1]) + 1
+    new[touch] = np.isin(lo[touch], off)
+    i = np.flatnonzero(new)
+    return lo[i], reach[np.append(i[1:], len(lo))[: len(i)] - 1]
+
+
 class _Finish:
     def __init__(self, length: int, parts: int, labels: np.ndarray, with_text: bool):
         self.length, self.parts, self.labels, self.with_text = length, parts, labels, with_text
 
     def __call__(self, c: Chunk) -> pa.RecordBatch:
-        n = len(c.raw)
-        cover = np.zeros(n + 1, np.int64)
+        lo = end = np.zeros(0, np.int64)
         if c.answers:
             f = _Fragments(c, self.length)
             said = read_answers(c, f.key[f.first], self.parts, self.labels, bits=False)[f.kind]
             whole = (said == ALL) | (said == BOTH)
-            np.add.at(cover, f.lo[whole], 1)
-            np.add.at(cover, f.hi[whole] + self.length, -1)
+            los, ends = [f.lo[whole]], [f.hi[whole] + self.length]
             wide = (self.length - GRAM + 8) // 8
             for label, a in c.answers.items():
                 if label >= SECOND:
                     m = len(a) // (8 + wide)
                     kind = np.frombuffer(a, np.int64, m)
                     bits = np.unpackbits(np.frombuffer(a, np.uint8, offset=8 * m).reshape(m, wide), axis=1, bitorder="little")
-                    row, off = np.nonzero(bits)
-                    s = f.lo[f.first[kind[row]]] + off
-                    np.add.at(cover, s, 1)
-                    np.add.at(cover, s + self.length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        before = np.concatenate([[0], np.cumsum(gone)])
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        cut = c.off[:-1][np.diff(c.off) > 0]
-        begins[cut] = gone[cut]
-        runs = np.concatenate([[0], np.cumsum(begins)])
-        left, removed = c.raw[~gone], before[c.off]
+                    row, place = np.nonzero(bits)
+                    s = f.lo[f.first[kind[row]]] + place
+                    los.append(s)
+                    ends.append(s + self.length)
+            lo, end = _united(np.concatenate(los), np.concatenate(ends), c.off)
+        left = np.concatenate([c.raw[a:b] for a, b in zip(np.append(0, end), np.append(lo, len(c.raw)), strict=True)])
+        runs = np.searchsorted(lo, c.off)
+        removed = np.concatenate([[0], np.cumsum(end - lo)])[runs]
         off = c.off - removed
         texts = [memoryview(left)[off[i] : off[i + 1]] for i in range(len(c.ids))]
-        cols = [c.doc_ids(), pa.array(np.diff(c.off), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(np.diff(runs[c.off]), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+        cols = [c.doc_ids(), pa.array(np.diff(c.off), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(np.diff(runs), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if self.with_text:
             cols.append(pa.array([bytes(x) for x in texts], pa.binary()))
