@@ -395,6 +395,20 @@ def test_nearest_in_a_large_group_of_copies(spark):
     assert total == 36 * 5 and right > 0.9 * total
 
 
+def test_nearest_in_tight_clusters_and_without_structure(spark):
+    """More near copies than any fixed number of candidates, and vectors that the books describe badly: all the truly nearest are found."""
+    rng = np.random.default_rng(11)
+    tight = rng.standard_normal((3, 32))[rng.integers(0, 3, 6000)] + 1e-4 * rng.standard_normal((6000, 32))
+    for x in (tight, 100 + rng.standard_normal((4000, 96)), np.concatenate([tight[:3000], rng.standard_normal((1000, 32))])):
+        got = nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).toPandas()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for q in range(0, len(x), 50):
+            score = u @ u[q]
+            score[q] = -np.inf
+            mine = got[got.query_id == q].sort_values("rank")
+            assert np.allclose(mine.score, np.sort(score)[:-6:-1], rtol=0, atol=1e-14) and np.allclose(mine.score, score[mine.vec_id], rtol=0, atol=1e-14)
+
+
 def test_odd_rows(spark, odd):
     n = len(ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
